@@ -189,7 +189,7 @@ SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
             WHEN rule IS NOT NULL THEN 'allow'
             WHEN (regexp_matches(dotted, '\\.ads-track\\.') AND prefix(path, '/'))
-              OR regexp_matches(path, '^/[^/]*/ads/') OR regexp_matches(path, '^/.*/ads/') THEN 'block'
+              OR regexp_matches(path, '(?s)^/.*/ads/') THEN 'block'
             ELSE 'allow' END AS verdict
 FROM m
 """
