@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Where tables go in a session that names no shared folder (tests, one machine).
@@ -53,6 +53,24 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+def first_by_hash(df: DataFrame, key: str, rows: int, *, by: str | None = None) -> DataFrame:
+    """The first rows of df, in all or of each value of ``by``, in the order of a hash of the key.
+
+    Rows are counted first, and only those whose hash falls in the share that holds
+    about four times as many as are wanted go on to be sorted, so what meets in a
+    task doesn't grow with the table.  At most ``rows`` rows, or ``rows`` of each value.
+    """
+    h = F.xxhash64(key)
+    if by is None:
+        n = df.select(key).count()
+        some = df.where(F.pmod(h, F.lit(n)) < 4 * rows) if n > 4 * rows else df
+        return some.orderBy(h, key).limit(rows)
+    counts = df.groupBy(by).agg(F.count("*").alias("count_of")).withColumnRenamed(by, "value_of")
+    some = df.join(F.broadcast(counts), F.col(by) == F.col("value_of")).where(F.pmod(h, F.col("count_of")) < 4 * rows)  # a row a value
+    w = Window.partitionBy(by).orderBy(h, key)
+    return some.withColumn("place_of", F.row_number().over(w)).where(F.col("place_of") <= rows).drop("value_of", "count_of", "place_of")
+
+
 # -- texts as bytes in numpy -------------------------------------------------
 
 LOWER = np.arange(256, dtype=np.uint8)

@@ -108,10 +108,10 @@ def decontaminate(
     """
     docs = narrow(docs, key, text)
     windows = written(windows_of(tests, item, item_text, size), "windows")
-    hits = written(find_occurrences(docs, windows, key=key, text=text), "hits")
-    same = lambda other: F.col(key).eqNullSafe(other["key"])
-    ids = sized(hits.select("key"))
-    named = docs.join(ids, same(ids), "left_semi").join(hits, same(hits))
+    hits = written(find_occurrences(docs, windows, key=key, text=text).withColumnRenamed("key", "hit_key"), "hits")
+    same = F.col(key).eqNullSafe(F.col("hit_key"))
+    ids = sized(hits.select("hit_key"))
+    named = docs.join(ids, same, "left_semi").join(hits, same)
     has = lambda h: F.slice(F.col("all_words"), h["start"] + 1, F.size(h["words"])) == h["words"]
     judged = (
         named.withColumn("all_words", words_of(F.col(text))).withColumn("hits", F.filter("hits", has))
@@ -122,7 +122,7 @@ def decontaminate(
             F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"])))).alias("items"),
         )
     )
-    clean = docs.join(ids, same(ids), "left_anti").select(
+    clean = docs.join(ids, same, "left_anti").select(
         key, *([text] if keep_text else []), F.size(words_of(F.col(text))).cast("long").alias("n_words"),
         F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"),
     )

@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_mod, narrow, text_bytes
+from .common import chunks, crc_mod, first_by_hash, narrow, text_bytes
 
 HIDDEN = 8
 SEGMENT = 128
@@ -183,12 +183,8 @@ def pooled(net: Network, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Network:
     """A network of a bounded sample of labelled documents outside the held-out fold."""
-    first = Window.partitionBy(lang).orderBy(F.xxhash64(key), key)
-    rows = (
-        narrow(docs, key, text, lang)
-        .where((crc_mod(F.col(key), 3) != 1) & F.col(lang).isNotNull() & (F.octet_length(text).between(1, SAMPLE_BYTES)))
-        .select(key, text, lang).withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_docs).orderBy(lang, "n").collect()
-    )  # each task passes on its first sample_docs rows of a language
+    usable = narrow(docs, key, text, lang).where((crc_mod(F.col(key), 3) != 1) & F.col(lang).isNotNull() & (F.octet_length(text).between(1, SAMPLE_BYTES)))
+    rows = first_by_hash(usable, key, sample_docs, by=lang).orderBy(lang, F.xxhash64(key), key, text).collect()
     return fit([(r[text].encode(), r[lang]) for r in rows])
 
 

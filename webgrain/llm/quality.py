@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, LOWER, chunks, crc_mod, narrow, span_hashes, spans, text_bytes
+from .common import BLANK, LOWER, chunks, crc_mod, first_by_hash, narrow, span_hashes, spans, text_bytes
 
 #: Labelled rows the model is fitted on: the first by a hash of their id.
 SAMPLE_ROWS = 20_000
@@ -189,11 +189,8 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> RuleModel:
 
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> RuleModel:
     """A model of at most ``sample_rows`` labelled documents outside the held-out fold."""
-    chosen = (
-        narrow(labels, key, label).where(F.col(label).isin(0, 1) & (crc_mod(F.col(key), 5) != 0))
-        .select(F.col(key).alias("label_key"), F.col(label).cast("int").alias("label"))
-        .orderBy(F.xxhash64("label_key"), "label_key", "label").limit(sample_rows)
-    )
+    usable = narrow(labels, key, label).where(F.col(label).isin(0, 1) & (crc_mod(F.col(key), 5) != 0))
+    chosen = first_by_hash(usable.select(F.col(key).alias("label_key"), F.col(label).cast("int").alias("label")), "label_key", sample_rows)
     wanted = narrow(docs, key, text).join(F.broadcast(chosen), F.col(key) == F.col("label_key"))  # at most sample_rows rows
     # several labels of one document are several rows of the sample
     joined = with_statistics(wanted.select(F.struct(F.col(key).alias("k"), "label").alias("row"), text).select(F.to_json("row").alias("row"), text), "row", text)

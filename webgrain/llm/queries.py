@@ -5,6 +5,7 @@ from __future__ import annotations
 from .archives import OP10_SQL, op10_warc
 from .decontaminate import OP7_SQL, op7_decontamination
 from .language import op8_language
+from .licenses import op9_licenses
 from .lm_score import op5_lm_score
 from .minhash_dedup import op2_minhash_dedup
 from .packing import op6_packing
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,
     "op8_language": op8_language,
+    "op9_licenses": op9_licenses,
     "op10_warc": op10_warc,
 }
 ORACLE_SQL = {
