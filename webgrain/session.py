@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -26,3 +29,17 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     for k, v in (SETTINGS | settings).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, once a session: they need not have it."""
+    context = spark.sparkContext
+    if getattr(context, "_webgrain_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="webgrain")) / "webgrain.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._webgrain_shipped = True
