@@ -232,7 +232,7 @@ def test_training_lowers_the_loss():
     ids, n = lm_score.ids_of(lm_score.words_of(*text_bytes(pa.array(["the cat sat on the mat again and again"] * 20))), sub)
     before = lm_score.Scorer(net).text_scores(ids, n).sum()
     lm_score.fit(net, np.split(ids, np.cumsum(n)[:-1]), steps=150)
-    assert lm_score.Scorer(net).text_scores(ids, n).sum() > 0.7 * before
+    assert lm_score.Scorer(net).text_scores(ids, n).sum() > 0.8 * before
 
 
 def test_ids_of_words_are_those_of_each_word():

@@ -175,7 +175,7 @@ def pooled(net: Network, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         most = int(length[part].max())
         at = start[part][:, None] + np.arange(most)
         live = np.arange(most) < length[part][:, None]
-        tokens = np.where(live, raw[np.minimum(at, len(raw) - 1)], _PAD)
+        tokens = np.where(live, raw[np.minimum(at, len(raw) - 1)].astype(np.int64), _PAD)
         p = position_probabilities(net, run_layers(net, tokens))
         np.add.at(sums, doc[part], np.einsum("tbl,bt->bl", p, live.astype(np.float32)))
     return np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], 1 / max(langs, 1))

@@ -70,7 +70,7 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     letters = np.maximum(kinds[:, 1] + kinds[:, 2], 1)
     out = [
         np.log1p(size), np.log1p(words), (size - kinds[:, 5] - kinds[:, 6]) / some, longest, kinds[:, 2] / letters, kinds[:, 3] / one,
-        kinds[:, 4] / one, kinds[:, 0] / one, words / np.maximum(lines, 1), distinct / some, 1 - distinct_lines / np.maximum(lines, 1),
+        kinds[:, 4] / one, kinds[:, 0] / one, words / np.maximum(lines, 1), distinct / some, (lines - distinct_lines) / np.maximum(lines, 1),
         per(same) / some, np.bincount(word_doc, odd, n) / some, np.bincount(word_doc, first & second, n) / some,
         *(kinds[:, 7 + i] / some for i in range(len(_MARKS))),
     ]
