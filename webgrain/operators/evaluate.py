@@ -20,11 +20,11 @@ def percentiles(df: DataFrame, by: list[str], value: str, ps: tuple[int, ...] =
     Values are counted first, so a group's rows are its different values; a running
     count then finds where each rank falls.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("k"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_times"))
     w = Window.partitionBy(*by).orderBy(value)
-    ranked = counted.withColumns({"upto": F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("k").over(Window.partitionBy(*by))})
-    at = lambda p: F.least(F.col("n") - 1, F.floor(F.lit(p) / 100 * F.col("n")))
-    return ranked.groupBy(*by).agg(F.first("n").alias("n"), *(F.min(F.when(F.col("upto") > at(p), F.col(value))).alias(f"p{p}") for p in ps))
+    ranked = counted.withColumns({"_upto": F.sum("_times").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_times").over(Window.partitionBy(*by))})
+    at = lambda p: F.least(F.col("_all") - 1, F.floor(F.lit(p) / 100 * F.col("_all")))
+    return ranked.groupBy(*by).agg(F.first("_all").alias("n"), *(F.min(F.when(F.col("_upto") > at(p), F.col(value))).alias(f"p{p}") for p in ps))
 
 
 def against_targets(measured: DataFrame, targets: DataFrame, key: str, ps: tuple[int, ...] = (50, 95, 99)) -> DataFrame:

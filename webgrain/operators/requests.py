@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,11 +98,6 @@ def latest_result(results: DataFrame, key: str = "job_id", ts: str = "ts", ttl:
 
 def sign(payload: str = "payload", secret: str = "secret"):
     """``sha256=`` and the hex HMAC of each payload, nulls giving null."""
-    import hashlib
-    import hmac
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def signed(body: pd.Series, key: pd.Series) -> pd.Series:
         one = lambda b, k: None if b is None or k is None else "sha256=" + hmac.new(k.encode(), b.encode(), hashlib.sha256).hexdigest()

@@ -436,10 +436,10 @@ FROM (SELECT *, coalesce(lag(bound) OVER w, 0) AS prev, coalesce(lag(count) OVER
     "counter_increase": _RL + """SELECT domain, CAST(sum(CASE WHEN prev IS NULL THEN 0 WHEN v < prev THEN v ELSE v - prev END) AS BIGINT) AS increase FROM (
   SELECT domain, id % 50 AS v, lag(id % 50) OVER (PARTITION BY domain ORDER BY created_at, id) AS prev FROM request_log) GROUP BY domain""",
     "success_ratio": _RL + f"SELECT {_SQL_TIME.format('h + INTERVAL 1 HOUR')} AS at, count(*) AS n, round(count(*) FILTER (WHERE status = 'completed') / count(*), 6) AS success_rate, round(count(*) FILTER (WHERE latency_ms > 10000) / count(*), 6) AS slow_share FROM (SELECT *, date_trunc('hour', created_at) AS h FROM request_log) GROUP BY h",
-    "alerts": sql_with("request_log", more="""ticks AS (SELECT h + INTERVAL 1 HOUR AS at, count(*) FILTER (WHERE status = 'completed') / count(*) AS v FROM (SELECT *, date_trunc('hour', created_at) AS h FROM request_log) GROUP BY h),
-marked AS (SELECT r.*, at, v, CASE r.alert WHEN 'no_success' THEN v = 0 ELSE v < 0.9 END AS firing FROM ticks, (VALUES ('low_success_rate', 'warning', 2), ('no_success', 'critical', 1)) r(alert, severity, hold)),
-islands AS (SELECT *, sum(CASE WHEN firing THEN 0 ELSE 1 END) OVER (PARTITION BY alert ORDER BY at ROWS UNBOUNDED PRECEDING) AS k FROM marked)""")
-    + f"SELECT alert, severity, {_SQL_TIME.format('min(at)')} AS since, {_SQL_TIME.format('max(at)')} AS until, count(*) AS ticks FROM islands WHERE firing GROUP BY alert, severity, hold, k HAVING max(at) >= min(at) + to_hours(hold)",
+    "alerts": sql_with("request_log", more="""ticks AS (SELECT h + INTERVAL 1 HOUR AS tick, count(*) FILTER (WHERE status = 'completed') / count(*) AS v FROM (SELECT *, date_trunc('hour', created_at) AS h FROM request_log) GROUP BY h),
+marked AS (SELECT r.*, tick, v, CASE r.alert WHEN 'no_success' THEN v = 0 ELSE v < 0.9 END AS firing FROM ticks, (VALUES ('low_success_rate', 'warning', 2), ('no_success', 'critical', 1)) r(alert, severity, hold)),
+islands AS (SELECT *, sum(CASE WHEN firing THEN 0 ELSE 1 END) OVER (PARTITION BY alert ORDER BY tick ROWS UNBOUNDED PRECEDING) AS k FROM marked)""")
+    + f"SELECT alert, severity, {_SQL_TIME.format('min(tick)')} AS since, {_SQL_TIME.format('max(tick)')} AS until, count(*) AS ticks FROM islands WHERE firing GROUP BY alert, severity, hold, k HAVING max(tick) >= min(tick) + to_hours(hold)",
     "metrics_text": _RL + "SELECT 'requests_total{status=\"' || status || '\"} ' || count(*) AS line FROM request_log GROUP BY status",
     "pool_stats": "SELECT count(*) AS total, count(*) FILTER (WHERE event_id % 4 = 0) AS in_use, count(*) FILTER (WHERE event_id % 4 = 1) AS idle, count(*) FILTER (WHERE event_id % 4 > 1) AS waiting FROM events",
     "fetch_costs": _RL + "SELECT tier_used, proxy_tier, count(*) AS fetches, CAST(sum(total_cost) AS DOUBLE) AS cost FROM request_log GROUP BY 1, 2",

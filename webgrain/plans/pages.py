@@ -269,7 +269,7 @@ FROM (SELECT page_id, CASE page_id % 5 {" ".join(f"WHEN {i} THEN '{k}'" for i, k
 FROM (SELECT page_id, got, first_value(got) OVER (PARTITION BY page_id ORDER BY tier) AS f FROM (SELECT page_id, tier, CASE WHEN status_code = 200 THEN tier % 2 ELSE -1 END AS got FROM attempts)) GROUP BY page_id""",
     "smart_vs_forced": sql_with("attempts") + """SELECT page_id, smart, forced, CAST(floor((1 - smart / nullif(forced, 0)) * 100 + 0.5) AS BIGINT) AS saved_pct
 FROM (SELECT page_id, CAST(sum(latency_ms) FILTER (WHERE tier = 1) AS BIGINT) AS smart, CAST(sum(latency_ms) FILTER (WHERE tier = 4) AS BIGINT) AS forced FROM attempts GROUP BY page_id)""",
-    "gold_accuracy": """WITH g AS (SELECT page_id AS i, page_id % 7 <> 0 AS title, (page_id % 5) * 0.01 < 0.0199 AS price, page_id % 6 <> 0 AS availability, page_id % 9 <> 0 OR page_id % 5 = 0 AS rating FROM pages WHERE page_id % 4 <> 0),
+    "gold_accuracy": """WITH g AS (SELECT page_id AS i, page_id % 7 <> 0 AS title, abs((page_id % 50 + 0.99::DOUBLE) - (page_id % 50 + 0.99::DOUBLE + (page_id % 5) * 0.01::DOUBLE)) < 0.02::DOUBLE AS price, page_id % 6 <> 0 AS availability, page_id % 9 <> 0 OR page_id % 5 = 0 AS rating FROM pages WHERE page_id % 4 <> 0),
 r AS (SELECT unnest(['title', 'price', 'availability', 'rating']) AS field, unnest([title, price, availability, rating]) AS ok FROM g)
 SELECT field, CAST(floor(count(*) FILTER (WHERE ok) * 100 / count(*) + 0.5) AS BIGINT) AS accuracy FROM r GROUP BY field""",
 }
