@@ -16,7 +16,7 @@ from webgrain.llm.common import narrow, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document's language must be this certain.
-LEAST_CERTAIN = 0.4
+LEAST_CERTAIN = 0.3
 
 
 def _rows(docs: DataFrame) -> DataFrame:

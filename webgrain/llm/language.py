@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from .common import chunks, crc_mod, first_by_hash, narrow, text_bytes
 
-HIDDEN = 8
+HIDDEN = 12
 SEGMENT = 128
 #: The sample that the network is trained on: so many documents of each language,
 #: of at most so many bytes, the first by a hash of their id.
-SAMPLE_DOCS, SAMPLE_BYTES = 150, 1 << 15
-STEPS, BATCH, CROP = 220, 192, 64
+SAMPLE_DOCS, SAMPLE_BYTES = 500, 1 << 15
+STEPS, BATCH, CROP = 500, 192, 64
 #: Segments that are read side by side.
 SIDE_BY_SIDE = 768
 CHUNK_BYTES = 1 << 21
