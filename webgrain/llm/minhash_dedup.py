@@ -300,6 +300,7 @@ def near_duplicates(
     smallest = classes.select("node", "first_id").join(found, "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
     linked = found.join(smallest, "component").select("node", "component_id")
     facts = classes.select("node", "first_id").join(linked, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id"))
+    facts = written(facts, "facts")  # as a table it is a side of its own, and the join may split a hot node's rows
     return (
         rows.select(F.col("key").alias(key), "n_shingles", "node").join(facts, "node", "left")
         .select(key, "n_shingles", F.when(F.col("node").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
