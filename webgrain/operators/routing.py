@@ -129,6 +129,15 @@ def proxy_stats(log: DataFrame, *, now: str, by: list[str], ts: str = "created_a
     )
 
 
+def proxy_tier_before(log: DataFrame, *, host: str = "domain", ts: str = "created_at", seq: str = "seq", kind: str = "proxy_tier", ok: str = "ok", default: str = "datacenter") -> DataFrame:
+    """log with ``prior_kind``: the kind of proxy of the host's last success before each
+    fetch, if that is less than a day old, else the default."""
+    before = Window.partitionBy(host).orderBy(ts, seq).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col(ok), F.struct(F.col(ts).alias("at"), F.col(kind).alias("kind"))), ignorenulls=True).over(before)
+    fresh = F.col("_last.at") + F.expr(f"INTERVAL {STATE_GAP}") > F.col(ts)
+    return log.withColumn("_last", last).withColumn("prior_kind", F.when(fresh, F.col("_last.kind")).otherwise(default)).drop("_last")
+
+
 def pick_proxy(ranked: DataFrame, *, by: str, provider: str, score: str) -> DataFrame:
     """One provider of each key: the best of at most two, else one of the best three,
     chosen by the key's hash."""

@@ -192,6 +192,27 @@ def proxy_escalation(spark, sf_dir):
     return request_log(spark, sf_dir).select("id", routing.next_proxy_tier(F.col("proxy_tier"), has).alias("next"))
 
 
+def proxy_tier_asof(spark, sf_dir):
+    log = request_log(spark, sf_dir).select(F.col("user_id").cast("string").alias("domain"), "created_at", F.col("id").alias("seq"), "proxy_tier", (F.col("status") == "completed").alias("ok"))
+    return routing.proxy_tier_before(log).select("seq", "prior_kind")
+
+
+def spec_quality(spark, sf_dir):
+    """Runs of stored specs by host, with the log's quality as theirs."""
+    from ..operators.extract import spec_quality as fold
+
+    log = request_log(spark, sf_dir).select("domain", F.col("quality_score").cast("double").alias("quality"))
+    return fold(log, ["domain"]).withColumn("avgQuality", F.round("avgQuality", 6))
+
+
+def replayed_events(spark, sf_dir):
+    from ..operators.sinks import progress_rows
+    from ..streaming.streams import replay
+
+    jobs = request_log(spark, sf_dir).select(F.col("id").alias("job_id"), F.col("created_at").alias("ts"), "status", "latency_ms", "error_message", "domain", "tier_used")
+    return replay(jobs.where("job_id % 3 = 0").select("job_id", F.col("tier_used").alias("result")), progress_rows(jobs))
+
+
 def latency_percentiles(spark, sf_dir):
     return evaluate.percentiles(request_log(spark, sf_dir), ["event_type"], "latency_ms")
 
@@ -293,7 +314,7 @@ QUERIES = {
     for f in (
         log_search, log_count, overview_today, month_cost, daily_requests, tier_breakdown, usage_daily, usage_rollup, usage_range_totals, metered_usage,
         auth_lookup, revoked_anti, account_summary, key_rotation, plan_update, user_upsert, rate_limit, webhook_outcomes, queue_order, cache_rows,
-        cache_lookup, latest_results, domain_strategy, strategy_before, route_decision, proxy_scores, proxy_rank, proxy_sessions, proxy_escalation,
+        cache_lookup, latest_results, domain_strategy, strategy_before, route_decision, proxy_scores, proxy_rank, proxy_sessions, proxy_escalation, proxy_tier_asof, spec_quality, replayed_events,
         latency_percentiles, percentile_targets, success_matrix, top_reasons, bench_summary, competitors, load_summary, throttle_gaps, request_counter,
         duration_histogram, cost_histogram, histogram_quantile, rate_5m, counter_increase, success_ratio, alerts, metrics_text, pool_stats, fetch_costs,
     )
@@ -409,6 +430,12 @@ FROM (SELECT id, CASE WHEN id % 17 = 0 THEN NULL ELSE [200, 404, 429, 503, 204][
 WHERE rank = CASE WHEN n <= 2 THEN 1 ELSE CAST('0x' || md5(domain)[1:4] AS INT) % 3 + 1 END""",
     "proxy_escalation": _RL + """SELECT id, CASE WHEN id % 2 = 0 THEN CASE proxy_tier WHEN 'none' THEN 'datacenter' WHEN 'datacenter' THEN 'mobile' WHEN 'residential' THEN 'mobile' END
   ELSE CASE WHEN proxy_tier IN ('none', 'datacenter') THEN 'residential' END END AS next FROM request_log""",
+    "proxy_tier_asof": _RL + """SELECT id AS seq, CASE WHEN last.at + INTERVAL 24 HOUR > created_at THEN last.kind ELSE 'datacenter' END AS prior_kind FROM (
+  SELECT id, created_at, last_value(CASE WHEN status = 'completed' THEN {'at': created_at, 'kind': proxy_tier} END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY created_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM request_log)""",
+    "spec_quality": _RL + 'SELECT domain, count(*) AS "execCount", round(avg(CAST(quality_score AS DOUBLE)), 6) AS "avgQuality" FROM request_log GROUP BY domain',
+    "replayed_events": _RL + """SELECT id AS job_id, 'complete' AS event, CAST(tier_used AS VARCHAR) AS data FROM request_log WHERE id % 3 = 0
+UNION ALL SELECT id, unnest(['started', 'headers', 'content', CASE WHEN status = 'failed' THEN 'error' ELSE 'complete' END]), unnest([domain, CAST(tier_used AS VARCHAR), domain, CASE WHEN status = 'failed' THEN error_message ELSE CAST(latency_ms AS VARCHAR) END])
+FROM request_log WHERE id % 3 <> 0""",
     "latency_percentiles": _RL + _pct("event_type"),
     "percentile_targets": _RL + f"""SELECT event_type, p50, t50 AS target_p50, p95, t95 AS target_p95, p99, t99 AS target_p99, CASE WHEN p50 <= t50 THEN 'PASS' ELSE 'MISS' END AS verdict_p50,
   CASE WHEN p95 <= t95 THEN 'PASS' ELSE 'MISS' END AS verdict_p95, CASE WHEN p99 <= t99 THEN 'PASS' ELSE 'MISS' END AS verdict_p99

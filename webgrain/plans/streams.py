@@ -22,8 +22,12 @@ def _work(spark) -> str:
 
 def _events(spark, sf_dir):
     """The events table as a stream of files."""
-    schema = table(spark, sf_dir, "events").schema
-    return S.event_stream(spark, sf_dir, schema, pathGlobFilter="events.parquet", recursiveFileLookup="true")
+    return S.event_stream(spark, _files(sf_dir, "events"), table(spark, sf_dir, "events").schema)
+
+
+def _files(sf_dir: str, name: str) -> str:
+    """A pattern that fits the table, be it a file or a folder: streams read patterns of either."""
+    return f"{sf_dir}/{name}.parque[t]"
 
 
 def _run(spark, stream, mode="append"):
@@ -79,9 +83,23 @@ def stream_progress(spark, sf_dir):
     return _run(spark, S.until_terminal(S.progress_events(jobs)))
 
 
-QUERIES = {f.__name__: f for f in (stream_hourly_usage, stream_daily_usage, stream_rate_5m, stream_sessions, stream_dedupe, stream_strategy, stream_progress)}
+def stream_rate_limit(spark, sf_dir):
+    calls = _events(spark, sf_dir).select(F.col("event_id").alias("id"), F.concat(F.lit("k"), (F.col("user_id") % 3).cast("string")).alias("key"), "ts")
+    return _run(spark, S.rate_limit_state(calls, 1))
+
+
+def stream_jobs(spark, sf_dir):
+    """Pages as a stream of jobs, extracted and scored."""
+    pages = spark.readStream.schema(table(spark, sf_dir, "pages").schema).parquet(_files(sf_dir, "pages"))
+    return _run(spark, S.job_results(pages).select("page_id", "score", "valid", "status", "title"))
+
+
+QUERIES = {f.__name__: f for f in (stream_rate_limit, stream_jobs, stream_hourly_usage, stream_daily_usage, stream_rate_5m, stream_sessions, stream_dedupe, stream_strategy, stream_progress)}
 _AT = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 SQL = {
+    "stream_rate_limit": """SELECT id, key, calls, CAST(CASE WHEN calls > 1 THEN 429 ELSE 200 END AS INT) AS code FROM (
+  SELECT event_id AS id, key, count(*) OVER (PARTITION BY key ORDER BY ms RANGE BETWEEN 59999 PRECEDING AND CURRENT ROW) AS calls
+  FROM (SELECT event_id, 'k' || (user_id % 3) AS key, epoch_ms(ts) AS ms FROM events))""",
     "stream_hourly_usage": f"SELECT {_AT.format('h')} AS start, event_type, count(*) AS n FROM (SELECT *, date_trunc('hour', ts) AS h FROM events) WHERE h + INTERVAL 1 HOUR < TIMESTAMP '{CLOSED}' GROUP BY h, event_type",
     "stream_daily_usage": f"SELECT {_AT.format('h')} AS start, count(*) AS n FROM (SELECT *, date_trunc('day', ts) AS h FROM events) WHERE h + INTERVAL 1 DAY < TIMESTAMP '{CLOSED}' GROUP BY h",
     "stream_rate_5m": f"""SELECT {_AT.format('w + INTERVAL 5 MINUTE')} AS at, count(*) AS n FROM (

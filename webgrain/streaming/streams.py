@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,6 +103,50 @@ def strategy_state(fetches: DataFrame, key: str = "domain", ttl_ms: int = 24 * 3
     )
 
 
+def rate_limit_state(calls: DataFrame, limit: int, key: str = "key", window_ms: int = 60_000) -> DataFrame:
+    """Each call with the number of its key's calls in the last minute, and the code.
+
+    The state is the times of that minute, the refused calls' too; it goes when the
+    key has been silent for as long.
+    """
+
+    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches))
+        ms = rows["ts"].astype("datetime64[ms]").astype("int64").to_numpy()
+        times = np.sort(np.concatenate([np.array(state.get[0] if state.exists else [], dtype=np.int64), ms]))
+        calls = np.searchsorted(times, ms, side="right") - np.searchsorted(times, ms - window_ms, side="right")
+        last = int(times[-1])
+        state.update(([int(t) for t in times[times > last - window_ms]],))
+        state.setTimeoutTimestamp(max(last + window_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"id": rows["id"].to_numpy(), key: group[0], "calls": calls, "code": np.where(calls > limit, 429, 200).astype("int32")})
+
+    return calls.groupBy(key).applyInPandasWithState(step, f"id long, {key} string, calls long, code int", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def job_results(pages: DataFrame) -> DataFrame:
+    """The stages of a job for each captured page: content, then score and verdict.
+
+    Extraction is one pass of Python; the score is columns; neither needs state, so
+    the same plan serves a batch and a stream.
+    """
+    from ..functions import quality as Q
+    from ..operators.extract import extract_pages
+
+    facts = pages.select("page_id", "url", "html", Q.quality_score(Q.PageFacts.of(F.col("html")), F.lit(200), F.lit(0)).alias("score"), Q.is_content(F.col("html"), F.lit(200), F.col("url")).alias("valid"))
+    out = extract_pages(facts, ("markdown", "text"), keep=["page_id", "url", "score", "valid"])
+    return out.withColumn("status", F.when(F.col("valid") & (F.col("score") >= Q.ACCEPT), "completed").otherwise("failed"))
+
+
+def replay(stored: DataFrame, events: DataFrame, key: str = "job_id") -> DataFrame:
+    """Events of jobs, where a job with a stored result gives that result alone."""
+    done = stored.select(key, F.lit("complete").alias("event"), F.col("result").cast("string").alias("data"))
+    rest = events.join(stored.select(key), key, "left_anti").select(key, "event", "data")
+    return done.unionByName(rest)
+
+
 def run_once(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there and gives what it wrote."""
     query = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start()
