@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import narrow, work_dir
+from .common import lean, narrow, work_dir
 
 # Fixed values of the formats.
 ARC_FIELDS = {
@@ -132,7 +132,7 @@ def to_records(df: DataFrame, *, key: str = "page_id", url: str = "url", body: s
                 kinds = [pa.int64(), *[pa.string()] * 5, pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return source.mapInArrow(convert, schema)
+    return source.mapInArrow(lean(convert), schema)
 
 
 def with_revisits(records: DataFrame, *, key: str = "page_id", least: int = REVISIT_FROM) -> DataFrame:
@@ -268,7 +268,7 @@ def scan_warc(spark: SparkSession, path: str, *, key: str = "page_id") -> DataFr
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select("content").mapInArrow(parse, schema)
+    return files.select("content").mapInArrow(lean(parse), schema)
 
 
 def convert_pages(df: DataFrame, path: str, *, key: str = "page_id", url: str = "url", body: str = "html", least: int = REVISIT_FROM) -> DataFrame:

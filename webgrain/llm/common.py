@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +16,24 @@ from pyspark.sql import functions as F
 LOCAL_WORK_DIR = "file:///tmp/checkpoints/webgrain"
 
 
+#: Bytes of a batch that goes to a Python worker; texts make 10,000 rows far larger.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of the session's Arrow batches, if they have Spark's own bound of 64 MB."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == f"{64 << 20}b":
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def narrow(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only, taken by exact name, the first of several alike.
 
     Other columns, whatever they are called (a second ``text``, a ``TEXT``, a
     ``score``), are dropped, so that they can't clash with computed ones.
     """
+    bound_batches(df.sparkSession)
     at = [df.columns.index(n) for n in names]
     flat = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
     return flat.select(*(F.col(f"c{i}").alias(n) for i, n in zip(at, names)))
@@ -71,6 +85,40 @@ def first_by_hash(df: DataFrame, key: str, rows: int, *, by: str | None = None)
     return some.withColumn("place_of", F.row_number().over(w)).where(F.col("place_of") <= rows).drop("value_of", "count_of", "place_of")
 
 
+# -- Python workers ------------------------------------------------------------
+
+#: Rows of a batch that are worked on at once.
+ROWS_AT_ONCE = 1024
+
+
+def give_back() -> None:
+    """Returns freed memory to the system."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int | None = ROWS_AT_ONCE):
+    """A function for mapInArrow that gets its rows in small batches and, when it ends,
+    gives back what its worker has freed: idle workers keep little memory."""
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows or max(1, batch.num_rows)):
+                yield batch.slice(at, rows)
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(small(batches))
+        finally:
+            give_back()
+
+    return wrapped
+
+
 # -- texts as bytes in numpy -------------------------------------------------
 
 LOWER = np.arange(256, dtype=np.uint8)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_mod, first_by_hash, narrow, text_bytes
+from .common import chunks, crc_mod, first_by_hash, lean, narrow, text_bytes
 
 HIDDEN = 12
 SEGMENT = 128
@@ -26,7 +26,7 @@ SAMPLE_DOCS, SAMPLE_BYTES = 500, 1 << 15
 STEPS, BATCH, CROP = 500, 192, 64
 #: Segments that are read side by side.
 SIDE_BY_SIDE = 768
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 UNKNOWN = "und"
 _PAD = 256
 
@@ -210,7 +210,7 @@ def identify(docs: DataFrame, net: Network, *, key: str = "doc_id", text: str =
             scores = np.where(blank, 0.0, np.clip(p[np.arange(len(p)), best], 0, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[key, "lang_pred", "score"])
 
-    return source.mapInArrow(read, schema).withColumn("held_out", crc_mod(F.col(key), 3) == 1)
+    return source.mapInArrow(lean(read), schema).withColumn("held_out", crc_mod(F.col(key), 3) == 1)
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, LOWER, chunks, mix, narrow, span_hashes, spans, text_bytes, written
+from .common import BLANK, LOWER, chunks, lean, mix, narrow, span_hashes, spans, text_bytes, written
 from .decontaminate import sized
 from .graph import components, runs, star_edges
 
@@ -34,7 +34,7 @@ WORDS, PERCENT = 5, 80
 COORDINATES = 48
 #: Members of a list or group that one task compares with as many others.
 SIDE = 512
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(48))
 _MULTIPLY = _rng.integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
@@ -114,7 +114,7 @@ def signed(docs: DataFrame, key: str, text: str, width: int, coordinates: int) -
                     names=["key", "n_shingles", "node", "sig"],
                 )
 
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias(text)).mapInArrow(run, f"key {kind}, n_shingles long, node long, sig binary")
+    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias(text)).mapInArrow(lean(run), f"key {kind}, n_shingles long, node long, sig binary")
 
 
 def posted(classes: DataFrame, coordinates: int) -> DataFrame:
@@ -127,7 +127,7 @@ def posted(classes: DataFrame, coordinates: int) -> DataFrame:
             tokens = mix(values.astype(np.uint64) + (np.arange(coordinates, dtype=np.uint64) << np.uint64(32)))
             yield pa.RecordBatch.from_arrays([pa.array(tokens.ravel().view(np.int64)), pa.array(np.repeat(node, coordinates))], names=["token", "node"])
 
-    return classes.select("node", "sig").mapInArrow(run, "token long, node long")
+    return classes.select("node", "sig").mapInArrow(lean(run), "token long, node long")
 
 
 def dealt(rows: DataFrame, group: str, *more: str, side: int = SIDE) -> DataFrame:
@@ -188,7 +188,7 @@ def candidate_groups(classes: DataFrame, coordinates: int, matches: int) -> Data
             hit = (sig == head).sum(axis=1) >= matches
             yield pa.RecordBatch.from_arrays([batch.column("token"), batch.column("node"), batch.column("head"), pa.array(~hit)], names=["token", "node", "head", "rest"])
 
-    tried = written(members.select("token", "node", "head", "sig", "head_sig").mapInArrow(against_head, "token long, node long, head long, rest boolean"), "tried")
+    tried = written(members.select("token", "node", "head", "sig", "head_sig").mapInArrow(lean(against_head), "token long, node long, head long, rest boolean"), "tried")
     mixed = tried.groupBy("token").agg(F.sum(F.col("rest").cast("long")).alias("n_rest"), F.count("*").alias("n_all")).where("n_rest > 0")
     tasks = dealt(tried.join(mixed, "token"), "token", "node").join(sigs, "node").select("g", "side", "node", "sig")
 
@@ -208,7 +208,7 @@ def candidate_groups(classes: DataFrame, coordinates: int, matches: int) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["a", "b"])
 
     edges = tried.where("NOT rest AND node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    return components(edges.unionByName(in_order(tasks).mapInArrow(among, "a long, b long")))
+    return components(edges.unionByName(in_order(tasks).mapInArrow(lean(among, None), "a long, b long")))
 
 
 def full_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame, width: int) -> DataFrame:
@@ -223,7 +223,7 @@ def full_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame, width: in
                 sets = [s for s in shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
 
-    sets = some.select(F.col(text).cast("string").alias(text)).mapInArrow(run, "node long, shingles binary")
+    sets = some.select(F.col(text).cast("string").alias(text)).mapInArrow(lean(run), "node long, shingles binary")
     return sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -238,7 +238,7 @@ def confirmed(groups: DataFrame, sets: DataFrame, sigs: DataFrame, coordinates:
             linked = np.array([similar(x, y, percent) for x, y in zip(own, head)], bool)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(~linked)], names=["component", "node", "rest"])
 
-    tried = written(pairs.mapInArrow(against_head, "component long, node long, rest boolean"), "linked")
+    tried = written(pairs.mapInArrow(lean(against_head), "component long, node long, rest boolean"), "linked")
     mixed = tried.groupBy("component").agg(F.sum(F.col("rest").cast("long")).alias("n_rest"), F.count("*").alias("n_all")).where("n_rest > 0")
     tasks = dealt(tried.join(mixed, "component"), "component", "node", "rest", "component").join(sets, "node").join(sigs, "node")
 
@@ -273,7 +273,7 @@ def confirmed(groups: DataFrame, sets: DataFrame, sigs: DataFrame, coordinates:
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["a", "b"])
 
     stars = tried.where("NOT rest AND node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    return stars.unionByName(in_order(tasks.select("g", "side", "node", "rest", "component", "shingles", "sig")).mapInArrow(among, "a long, b long"))
+    return stars.unionByName(in_order(tasks.select("g", "side", "node", "rest", "component", "shingles", "sig")).mapInArrow(lean(among, None), "a long, b long"))
 
 
 def near_duplicates(

@@ -15,6 +15,7 @@ dealt to step groups, each time to the group with the fewest real tokens.
 from __future__ import annotations
 
 import bisect
+import functools
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import narrow
+from .common import lean, narrow
 
 #: Context sizes, ascending powers of two.
 TIERS = (128, 256, 512, 1024)
@@ -56,14 +57,19 @@ class Encoder:
 
         import tiktoken
         from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(json_path)
+        self.json_path = json_path
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path or json_path.removesuffix("json") + "tiktoken", "rb"))}
         self.fast = tiktoken.Encoding("pack", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.common = re.compile("[\\x00-\\x84\\x86-\\u024f\\u0370-\\u0377\\u0391-\\u03a1\\u03b1-\\u03c9\\u0410-\\u044f\\u2010-\\u2027\\u20ac]*")
         self.run = re.compile(r"\S{400}|\s{400}")  # one piece this long is slow there
 
+    @functools.cached_property
+    def exact(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.json_path)
+
     def __call__(self, text: str) -> np.ndarray:
         if self.common.fullmatch(text) and _SPECIAL not in text and not self.run.search(text):
             return np.array(self.fast.encode_ordinary(text), dtype=np.uint32)
@@ -203,7 +209,7 @@ def pack(
                     rows = []
         yield windows(rows + pack_pool(pool, tiers))
 
-    return source.select(F.col(key), F.col(text).cast("string").alias(text)).mapInArrow(run, schema)
+    return source.select(F.col(key), F.col(text).cast("string").alias(text)).mapInArrow(lean(run), schema)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

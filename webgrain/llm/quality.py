@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, LOWER, chunks, crc_mod, first_by_hash, narrow, span_hashes, spans, text_bytes
+from .common import BLANK, LOWER, chunks, crc_mod, first_by_hash, lean, narrow, span_hashes, spans, text_bytes
 
 #: Labelled rows the model is fitted on: the first by a hash of their id.
 SAMPLE_ROWS = 20_000
 TREES, DEPTH, LEAF, LASSO = 40, 3, 20, 2e-3
 THRESHOLD = 0.3
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _MARKS = "!*$%#&|.,"
 #: Byte classes: 0 other ASCII, 1 small, 2 capital, 3 digit, 4 beyond ASCII, 5 blank, 6 new line, then the marks.
@@ -89,7 +89,7 @@ def with_statistics(df: DataFrame, key: str, text: str) -> DataFrame:
             table = np.concatenate(found) if found else np.zeros((0, len(STATISTICS)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in table.T)], names=[key, *STATISTICS])
 
-    return source.mapInArrow(count, schema)
+    return source.mapInArrow(lean(count), schema)
 
 
 Path = tuple[tuple[int, bool, float], ...]  # (statistic, over, limit): x > limit if over, else x <= limit

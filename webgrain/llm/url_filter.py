@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow
+from .common import lean, narrow
 
 SEP, ANY, STAR = -1, -2, -3
 #: Characters of URLs that one step of the automaton may hold at once.
@@ -155,7 +155,7 @@ def filter_urls(
                 names=[key, "host", "path", "rule", "verdict"],
             )
 
-    return source.select(F.col(key), F.col(url)).mapInArrow(judge, schema)
+    return source.select(F.col(key), F.col(url)).mapInArrow(lean(judge), schema)
 
 
 #: The stated rules, and what holds where none of them fits.

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, narrow, written
+from .common import lean, mix, narrow, written
 from .graph import components, runs, star_edges
 
 COSINE = 0.95
@@ -188,7 +188,7 @@ def near_duplicates(df: DataFrame, *, key: str = "vec_id", vector: str = "embedd
     classes = written(
         rows.where("node IS NOT NULL").groupBy("node").agg(F.min(key).alias("first_id"), F.count("*").alias("n"), F.any_value(vector).alias("embedding")), "classes"
     )
-    posted = written(classes.select("node", "embedding").mapInArrow(_post, "cell long, node long, home boolean"), "cells")
+    posted = written(classes.select("node", "embedding").mapInArrow(lean(_post), "cell long, node long, home boolean"), "cells")
     size = posted.groupBy("cell").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("there")).where("homes > 0 AND there > 1")
     split = lambda n: F.ceil(F.col(n) / SIDE).cast("int")
     among = posted.join(size, "cell").select("cell", "node", "home", split("homes").alias("ka"), split("there").alias("kb"))
@@ -203,7 +203,7 @@ def near_duplicates(df: DataFrame, *, key: str = "vec_id", vector: str = "embedd
         )
     )
     tasks = among.select("cell", "node", F.explode(dealt).alias("t")).select(F.xxhash64("cell", "t.i", "t.k").alias("g"), "t.side", "node")
-    edges = _grouped(tasks, classes).mapInArrow(_links(threshold), "a long, b long")
+    edges = _grouped(tasks, classes).mapInArrow(lean(_links(threshold), None), "a long, b long")
     found = written(components(edges), "components")
 
     sizes = found.groupBy("component").agg(F.count("*").alias("there"))
@@ -212,7 +212,7 @@ def near_duplicates(df: DataFrame, *, key: str = "vec_id", vector: str = "embedd
         F.xxhash64("component", F.least("at", "other"), F.greatest("at", "other")).alias("g"),
         F.when(F.col("at") == F.col("other"), 3).when(F.col("at") < F.col("other"), 1).otherwise(2).alias("side"), "node",
     )
-    links = _grouped(pairs, classes, "n").mapInArrow(_degrees(threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    links = _grouped(pairs, classes, "n").mapInArrow(lean(_degrees(threshold), None), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
     about = classes.select("node", "n", "first_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = about.groupBy("component").agg(F.min("first_id").alias("component_id"))
