@@ -112,15 +112,17 @@ def decontaminate(
     same = F.col(key).eqNullSafe(F.col("hit_key"))
     ids = sized(hits.select("hit_key"))
     named = docs.join(ids, same, "left_semi").join(hits, same)
-    has = lambda h: F.slice(F.col("all_words"), h["start"] + 1, F.size(h["words"])) == h["words"]
-    judged = (
-        named.withColumn("all_words", words_of(F.col(text))).withColumn("hits", F.filter("hits", has))
-        .select(
-            key, *([text] if keep_text else []),
-            F.size("all_words").cast("long").alias("n_words"),
-            F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + F.size(h["words"]) - 1))))).cast("long").alias("n_hit"),
-            F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"])))).alias("items"),
-        )
+    # the words are bound as a lambda's variable, or they would be split anew for each hit
+    verified = F.transform(
+        F.array(words_of(F.col(text))),
+        lambda w: F.struct(
+            F.size(w).cast("long").alias("n_words"), F.filter("hits", lambda h: F.slice(w, h["start"] + 1, F.size(h["words"])) == h["words"]).alias("hits")
+        ),
+    )[0]
+    judged = named.withColumn("found", verified).select(
+        key, *([text] if keep_text else []), F.col("found.n_words").alias("n_words"),
+        F.size(F.array_distinct(F.flatten(F.transform("found.hits", lambda h: F.sequence(h["start"], h["start"] + F.size(h["words"]) - 1))))).cast("long").alias("n_hit"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform("found.hits", lambda h: h["items"])))).alias("items"),
     )
     clean = docs.join(ids, same, "left_anti").select(
         key, *([text] if keep_text else []), F.size(words_of(F.col(text))).cast("long").alias("n_words"),
