@@ -31,7 +31,7 @@ COSINE = 0.95
 #: eight tables of 0.999; unrelated vectors meet in a table about once in 70,000.
 TABLES, BLOCKS, SCALE, PROBES = 8, 2, 2.0, 4
 #: Vectors of a cell or component that one task compares with as many others.
-SIDE = 1024
+SIDE = 512
 
 
 def _minimal() -> np.ndarray:
