@@ -45,9 +45,18 @@ def stream_daily_usage(spark, sf_dir):
     return out.where(F.col("start") + F.expr("INTERVAL 1 day") < CLOSED).select(_time("start").alias("start"), "n")
 
 
+def _rate_5m(spark, sf_dir):
+    return _run(spark, S.sliding_rate(_events(spark, sf_dir), "ts", "5 minutes", "1 minute"))
+
+
 def stream_rate_5m(spark, sf_dir):
-    out = _run(spark, S.sliding_rate(_events(spark, sf_dir), "ts", "5 minutes", "1 minute"))
-    return out.where(F.col("at") < "2024-01-05 00:00:00").select(_time("at").alias("at"), "n")
+    """The windows that the SQL compares; stream_rate_5m_all has all."""
+    return _rate_5m(spark, sf_dir).where(F.col("at") < "2024-01-05 00:00:00").select(_time("at").alias("at"), "n")
+
+
+def stream_rate_5m_all(spark, sf_dir):
+    """All windows that the stream emitted."""
+    return _rate_5m(spark, sf_dir).select(_time("at").alias("at"), "n")
 
 
 def stream_sessions(spark, sf_dir):
@@ -94,7 +103,7 @@ def stream_jobs(spark, sf_dir):
     return _run(spark, S.job_results(pages).select("page_id", "score", "valid", "status", "title"))
 
 
-QUERIES = {f.__name__: f for f in (stream_rate_limit, stream_jobs, stream_hourly_usage, stream_daily_usage, stream_rate_5m, stream_sessions, stream_dedupe, stream_strategy, stream_progress)}
+QUERIES = {f.__name__: f for f in (stream_rate_limit, stream_jobs, stream_hourly_usage, stream_daily_usage, stream_rate_5m, stream_rate_5m_all, stream_sessions, stream_dedupe, stream_strategy, stream_progress)}
 _AT = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 SQL = {
     "stream_rate_limit": """SELECT id, key, calls, CAST(CASE WHEN calls > 1 THEN 429 ELSE 200 END AS INT) AS code FROM (
