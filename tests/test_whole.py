@@ -42,3 +42,10 @@ def test_stream_rate_5m_all_keeps_every_closed_window(spark, events):
     closed = max(r[1] for r in rows) - LATE
     want = Counter(at for r in rows for at in minute_windows(r[1]) if at <= closed)
     assert found(spark, "stream_rate_5m_all", folder) == sorted((text(at), n) for at, n in want.items())
+
+
+def test_rate_5m_all_counts_every_day_and_across_midnight(spark, events):
+    folder, rows = events
+    want = Counter((at, "failed" if r[3] == "error" else "completed") for r in rows for at in minute_windows(r[1]))
+    assert {at.date() for at, _ in want} > {dt.date(2025, 3, 10)}
+    assert found(spark, "rate_5m_all", folder) == sorted((text(at), status, n, round(n / 300, 6)) for (at, status), n in want.items())

@@ -271,11 +271,19 @@ def histogram_quantile(spark, sf_dir):
     return metrics.histogram_quantile(b, 0.5, "event_type")
 
 
-def rate_5m(spark, sf_dir):
-    log = request_log(spark, sf_dir).where(F.to_date("created_at") == "2024-01-10")
+def _rate_5m(log):
     return metrics.rate(log, every="1 minute", labels=("status",)).select(_time("at").alias("at"), "status", "n", "per_second")
 
 
+def rate_5m(spark, sf_dir):
+    """The day that the SQL compares; rate_5m_all has the whole log."""
+    return _rate_5m(request_log(spark, sf_dir).where(F.to_date("created_at") == "2024-01-10"))
+
+
+def rate_5m_all(spark, sf_dir):
+    return _rate_5m(request_log(spark, sf_dir))
+
+
 def counter_increase(spark, sf_dir):
     samples = request_log(spark, sf_dir).select("domain", "created_at", "id", (F.col("id") % 50).alias("value")).withColumn("at", F.struct("created_at", "id"))
     return metrics.increase(samples, by=["domain"], ts="at", value="value")
@@ -316,7 +324,7 @@ QUERIES = {
         auth_lookup, revoked_anti, account_summary, key_rotation, plan_update, user_upsert, rate_limit, webhook_outcomes, queue_order, cache_rows,
         cache_lookup, latest_results, domain_strategy, strategy_before, route_decision, proxy_scores, proxy_rank, proxy_sessions, proxy_escalation, proxy_tier_asof, spec_quality, replayed_events,
         latency_percentiles, percentile_targets, success_matrix, top_reasons, bench_summary, competitors, load_summary, throttle_gaps, request_counter,
-        duration_histogram, cost_histogram, histogram_quantile, rate_5m, counter_increase, success_ratio, alerts, metrics_text, pool_stats, fetch_costs,
+        duration_histogram, cost_histogram, histogram_quantile, rate_5m, rate_5m_all, counter_increase, success_ratio, alerts, metrics_text, pool_stats, fetch_costs,
     )
 }
 
