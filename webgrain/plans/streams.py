@@ -10,7 +10,7 @@ from ..sources.tables import DERIVED_SQL, table
 from ..streaming import streams as S
 
 _time = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-#: Windows that end before this time are closed when the stream ends.
+#: Three queries compare, as their SQL does, the windows that end before this time.
 CLOSED = "2024-01-29 00:00:00"
 LOCAL_WORK_DIR = "file:///tmp/checkpoints/webgrain"
 
@@ -35,14 +35,32 @@ def _run(spark, stream, mode="append"):
     return S.run_once(stream, f"{work}/out", f"{work}/state", mode)
 
 
+def _hourly(spark, sf_dir):
+    return _run(spark, S.tumbling_counts(_events(spark, sf_dir), "ts", "1 hour", "event_type"))
+
+
 def stream_hourly_usage(spark, sf_dir):
-    out = _run(spark, S.tumbling_counts(_events(spark, sf_dir), "ts", "1 hour", "event_type"))
-    return out.where(F.col("start") + F.expr("INTERVAL 1 hour") < CLOSED).select(_time("start").alias("start"), "event_type", "n")
+    """The hours that the SQL compares; stream_hourly_usage_all has all."""
+    return _hourly(spark, sf_dir).where(F.col("start") + F.expr("INTERVAL 1 hour") < CLOSED).select(_time("start").alias("start"), "event_type", "n")
+
+
+def stream_hourly_usage_all(spark, sf_dir):
+    """All hours that the stream emitted."""
+    return _hourly(spark, sf_dir).select(_time("start").alias("start"), "event_type", "n")
+
+
+def _daily(spark, sf_dir):
+    return _run(spark, S.tumbling_counts(_events(spark, sf_dir), "ts", "1 day"))
 
 
 def stream_daily_usage(spark, sf_dir):
-    out = _run(spark, S.tumbling_counts(_events(spark, sf_dir), "ts", "1 day"))
-    return out.where(F.col("start") + F.expr("INTERVAL 1 day") < CLOSED).select(_time("start").alias("start"), "n")
+    """The days that the SQL compares; stream_daily_usage_all has all."""
+    return _daily(spark, sf_dir).where(F.col("start") + F.expr("INTERVAL 1 day") < CLOSED).select(_time("start").alias("start"), "n")
+
+
+def stream_daily_usage_all(spark, sf_dir):
+    """All days that the stream emitted."""
+    return _daily(spark, sf_dir).select(_time("start").alias("start"), "n")
 
 
 def _rate_5m(spark, sf_dir):
@@ -59,9 +77,18 @@ def stream_rate_5m_all(spark, sf_dir):
     return _rate_5m(spark, sf_dir).select(_time("at").alias("at"), "n")
 
 
+def _sessions(spark, sf_dir):
+    return _run(spark, S.sessions(_events(spark, sf_dir), "ts", "6 hours", "user_id"))
+
+
 def stream_sessions(spark, sf_dir):
-    out = _run(spark, S.sessions(_events(spark, sf_dir), "ts", "6 hours", "user_id"))
-    return out.where(F.col("end") < CLOSED).select("user_id", _time("start").alias("start"), _time("end").alias("end"), "n")
+    """The sessions that the SQL compares; stream_sessions_all has all."""
+    return _sessions(spark, sf_dir).where(F.col("end") < CLOSED).select("user_id", _time("start").alias("start"), _time("end").alias("end"), "n")
+
+
+def stream_sessions_all(spark, sf_dir):
+    """All sessions that the stream emitted."""
+    return _sessions(spark, sf_dir).select("user_id", _time("start").alias("start"), _time("end").alias("end"), "n")
 
 
 def stream_dedupe(spark, sf_dir):
@@ -103,7 +130,13 @@ def stream_jobs(spark, sf_dir):
     return _run(spark, S.job_results(pages).select("page_id", "score", "valid", "status", "title"))
 
 
-QUERIES = {f.__name__: f for f in (stream_rate_limit, stream_jobs, stream_hourly_usage, stream_daily_usage, stream_rate_5m, stream_rate_5m_all, stream_sessions, stream_dedupe, stream_strategy, stream_progress)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        stream_rate_limit, stream_jobs, stream_hourly_usage, stream_hourly_usage_all, stream_daily_usage, stream_daily_usage_all, stream_rate_5m, stream_rate_5m_all,
+        stream_sessions, stream_sessions_all, stream_dedupe, stream_strategy, stream_progress,
+    )
+}
 _AT = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 SQL = {
     "stream_rate_limit": """SELECT id, key, calls, CAST(CASE WHEN calls > 1 THEN 429 ELSE 200 END AS INT) AS code FROM (
