@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from webgrain.plans import catalog
+from webgrain.streaming import streams as S
 
 MINUTE = dt.timedelta(minutes=1)
 LATE = 10 * MINUTE  # the streams' watermark
@@ -69,3 +70,33 @@ def test_stream_sessions_all_keeps_every_closed_session(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     at = lambda h: text(begin + dt.timedelta(hours=h))
     assert found(spark, "stream_sessions_all", str(tmp_path)) == [(1, at(0), at(16), 3), (1, at(40), at(47), 2), (2, at(3), at(9), 1), (2, at(30), at(36), 1)]
+
+
+class Slow:
+    """A stream that any wait with a limit leaves running."""
+
+    def __init__(self):
+        self.ended = False
+
+    def __getattr__(self, name):  # the writer's settings
+        return lambda *a, **b: self
+
+    writeStream = sparkSession = read = property(lambda self: self)  # noqa: N815
+    schema = lambda self, *a: self
+
+    def awaitTermination(self, timeout=None):  # noqa: N802
+        self.ended = self.ended or timeout is None
+        return self.ended
+
+    def exception(self):
+        return None
+
+    def parquet(self, path):
+        return "whole" if self.ended else "part"
+
+
+def test_streams_are_read_when_they_have_ended():
+    assert S.run_once(Slow(), "out", "state") == "whole"
+    batches = Slow()
+    S.run_batches(batches, lambda *a: None, "state")
+    assert batches.ended

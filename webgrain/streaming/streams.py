@@ -150,7 +150,7 @@ def replay(stored: DataFrame, events: DataFrame, key: str = "job_id") -> DataFra
 def run_once(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there and gives what it wrote."""
     query = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start()
-    query.awaitTermination(600)
+    query.awaitTermination()
     if query.exception():
         raise RuntimeError(str(query.exception()))
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
@@ -159,7 +159,7 @@ def run_once(stream: DataFrame, out: str, checkpoint: str, mode: str = "append")
 def run_batches(stream: DataFrame, each, checkpoint: str, mode: str = "update") -> None:
     """Runs a stream, handing each micro-batch and its number to ``each``."""
     query = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination(600)
+    query.awaitTermination()
     if query.exception():
         raise RuntimeError(str(query.exception()))
 
