@@ -1,5 +1,7 @@
 """Trained operators: held-out accuracy, gradients, exact baselines, odd inputs."""
 
+import decimal
+import itertools
 import math
 import re
 import zlib
@@ -7,12 +9,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F
+import pytest
 
 from webgrain.llm import language, lm_score, quality
 from webgrain.llm.common import text_bytes
 
 from .test_filters import DOCS, LOW, with_clashes
+from .test_whole_corpus import loss, sequences
 
 ODD = [(900, None), (901, ""), (902, " \n\t"), (903, "!!! 123"), (904, "x" * 200000), (905, "Été \U0001f600 漢字"), (905, "Été \U0001f600 漢字"), (None, "no id at all")]
 
@@ -179,8 +182,10 @@ def test_scores_and_baseline(spark, monkeypatch):
     assert all(np.isfinite(r.score) and r.score < 0 for r in rows)
     long = [r for r in rows if r.held_out and r.n_tokens > 20 and r.doc_id and r.doc_id < 900]
     assert sum(r.score for r in long) > 1.3 * sum(r.base_score for r in long)
-    monkeypatch.setattr(lm_score.frequent_words, "__defaults__", (20,))  # most words by the join
-    check_scores(docs, lm_score.score(df).collect())
+    monkeypatch.setattr(lm_score.frequent, "__defaults__", (20,))  # most words by the join
+    joined = lm_score.score(df).collect()
+    check_scores(docs, joined)
+    assert {r.doc_id for r in joined} == {r.doc_id for r in rows}
 
 
 def test_scores_without_training_rows(spark):
@@ -190,60 +195,114 @@ def test_scores_without_training_rows(spark):
     assert lm_score.score(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("kind,keys", [("smallint", [1, 2, 3]), ("decimal(9,1)", [decimal.Decimal("1.5"), None, decimal.Decimal("2.0")]), ("string", ["a", "b", "b"]), ("double", [0.5, 1.5, 2.5])])
+def test_scores_with_keys_of_any_type(spark, kind, keys):
+    df = spark.createDataFrame([(k, "some words and words") for k in keys], f"doc_id {kind}, text string")
+    rows = lm_score.score(df).collect()
+    assert sorted(str(r.doc_id) for r in rows) == sorted(map(str, keys)) and all(r.n_tokens == 5 for r in rows)
+
+
 def small_net(seed=0):
     sub = lm_score.Subwords(lm_score.rank_path())
     rng = np.random.default_rng(seed)
     counts = np.zeros(sub.size)
-    counts[rng.integers(0, sub.size, 300)] = rng.integers(1, 50, 300)
-    class_of = lm_score.classes_of(counts, sub.opens)
+    some = np.flatnonzero(sub.opens)
+    counts[rng.choice(some, 300)] = rng.integers(1, 50, 300)
+    class_of = lm_score.classes_of(counts, lm_score.ALONE, lm_score.BANDS)
     pairs = np.zeros((lm_score.CLASSES, sub.size))
     pairs[0] = counts
-    net = lm_score.fresh(class_of, pairs, sub.end)
+    net = lm_score.fresh(pairs, counts, class_of, sub.opens, sub.end)
     net.near += rng.normal(0, 1, net.near.shape).astype(np.float32)
     return sub, net
 
 
-def test_each_id_is_scored_once_with_a_proper_distribution():
+def test_each_token_is_scored_once_with_a_proper_distribution():
     sub, net = small_net()
-    assert np.allclose([(10.0 ** net.within[c])[net.class_of == k].sum() for c in (0, 5) for k in np.unique(net.class_of)], 1, atol=1e-4)
+    assert np.allclose([(10.0 ** net.within[c])[net.class_of == k].sum() for c in (0, 5) for k in np.unique(net.class_of[sub.opens])], 1, atol=1e-4)
     rng = np.random.default_rng(1)
-    texts = [rng.integers(0, sub.size, n) for n in (1, 15, 16, 17, 70)]
-    scorer = lm_score.Scorer(net)
-    got = scorer.text_scores(np.concatenate(texts), np.array([len(t) for t in texts]), batch=3)
-
-    def plain(ids):  # one id after the other
-        total, seen = 0.0, [net.end, *ids.tolist()]
-        for t, goal in enumerate(ids):
+    kinds = np.flatnonzero(sub.opens)[:400]
+    first, last = np.append(sub.end, kinds), np.append(sub.end, rng.integers(0, sub.size, len(kinds)))
+    counts = np.array([1, 15, 16, 17, 70])
+    tokens = np.concatenate([np.append(rng.integers(1, len(first), n - 1), 0) for n in counts])
+    words = lm_score.Words(np.zeros(len(first), np.uint64), [], tokens, counts)
+    got = lm_score.Scorer(net).text_scores(words, first, last, batch=3)
+
+    def plain(text):  # one token after the other
+        total, seen = 0.0, [0, *text.tolist()]
+        for t, goal in enumerate(text):
             start = max(0, (t // lm_score.BLOCK - 1) * lm_score.BLOCK)
-            e = net.embed[net.own_input[seen[start : t + 1]]].astype(float)
+            some = np.array(seen[start : t + 1])
+            e = (net.embed[net.own_first[first[some]]] + net.embed[net.own_last[last[some]]]).astype(float)
             s = (e[-1] @ net.wq) @ (e @ net.wk).T / 4 + net.near[np.arange(len(e))[::-1]]
             p = np.exp(s - s.max())
             a = (p / p.sum()) @ (e @ net.wv)
             z = np.maximum(np.concatenate([e[-1], a]) @ net.w1 + net.b1, 0) @ net.w2 + net.b2
             z -= z.max()
-            total += (z[net.class_of[goal]] - np.log(np.exp(z).sum())) / np.log(10) + net.within[net.class_of[seen[t]], goal]
+            kind = net.class_of[first]
+            total += (z[kind[goal]] - np.log(np.exp(z).sum())) / np.log(10) + net.within[kind[seen[t]], first[goal]]
         return total
 
-    assert np.allclose(got, [plain(t) for t in texts], rtol=1e-3)
+    assert np.allclose(got, [plain(t) for t in np.split(tokens, np.cumsum(counts)[:-1])], rtol=1e-3)
+
+
+def test_spelling_of_known_and_unknown_words_sums_to_one():
+    """Over all words of at most three ids out of a few, the rest being the mass of longer ones."""
+    size, end = 6, 5
+    after = np.random.default_rng(2).dirichlet(np.ones(size), 2).astype(np.float32)
+    tokens, kinds = np.array([9, 0, 0, 0, 0, 3]), np.array([2, 0, 0, 0, 0, 1])
+    pairs = np.array([0 * size + 1, 0 * size + end, 1 * size + end])
+    times = np.array([3, 1, 2])
+    spells = lm_score.Spells(tokens, kinds, np.array([0, 1, 0, 1, 0, 1]), after, pairs, times, np.bincount(pairs // size, times, size), np.bincount(pairs // size, minlength=size), end)
+    share = np.array([[spells.share(np.array([a]), np.array([b]))[0] for b in range(size)] for a in range(size)])
+    assert np.allclose(share.sum(axis=1), 1, atol=1e-6)
+    every = [(0, *m) for n in range(3) for m in itertools.product(range(end), repeat=n)]
+    spelling = lm_score.Spelling(np.array([end, *(k for w in every for k in w)]), np.array([1, *map(len, every)]))
+    own, below = spells.of(spelling)
+    n = np.zeros(len(every) + 1)
+    n[1 + every.index((0,))], n[1 + every.index((0, 1))] = 4, 5
+    got = 10.0 ** lm_score.word_logs(n, own, below)[1:]
+    longer = sum(share[0, a] * share[a, b] * (1 - share[b, end]) for a in range(end) for b in range(end))
+    assert abs(got.sum() + kinds[0] * longer / (tokens[0] + kinds[0]) - 1) < 1e-6
+
+
+def test_gradients_are_those_of_the_loss():
+    sub, net = small_net()
+    rng = np.random.default_rng(3)
+    pad = np.full(lm_score.BLOCK, -1)
+    some = rng.choice(np.flatnonzero(sub.opens), 40)
+    first, last = np.concatenate([pad, [sub.end], some, pad]), np.concatenate([pad, [sub.end], rng.choice(some, 40), pad])
+    begin = np.array([lm_score.BLOCK] * 3)
+    windows = (first, last, begin + np.arange(3) * lm_score.BLOCK, begin)
+    _, grads = lm_score.gradients(net, *windows)
+    for p, g in zip(net.weights(), grads):
+        flat, gf = p.reshape(-1), g.reshape(-1)
+        for k in np.argsort(-np.abs(gf))[:3]:
+            old = flat[k]
+            flat[k] = old + 1e-2
+            up, _ = lm_score.gradients(net, *windows)
+            flat[k] = old - 1e-2
+            down, _ = lm_score.gradients(net, *windows)
+            flat[k] = old
+            assert abs((up - down) / 2e-2 - gf[k]) < 2e-3 + 0.05 * abs(gf[k])
 
 
 def test_training_lowers_the_loss():
     sub, net = small_net()
-    ids, n = lm_score.ids_of(lm_score.words_of(*text_bytes(pa.array(["the cat sat on the mat again and again"] * 20))), sub)
-    before = lm_score.Scorer(net).text_scores(ids, n).sum()
-    lm_score.fit(net, np.split(ids, np.cumsum(n)[:-1]), steps=150)
-    assert lm_score.Scorer(net).text_scores(ids, n).sum() > 0.8 * before
+    texts = sequences(["the cat sat on the mat again and again"] * 20, sub)
+    before = loss(net, texts)
+    lm_score.fit(net, texts, steps=150)
+    assert loss(net, texts) < 0.8 * before
 
 
 def test_ids_of_words_are_those_of_each_word():
     sub = lm_score.Subwords(lm_score.rank_path())
-    words = [b"the", "été".encode(), b"don't", b"!!!", "\xa0".encode(), "\xa0\xa0x".encode(), b"y" * 5000, b"12ab"]
-    ids, n = sub.of(words)
-    assert len(n) == len(words) and n.sum() == len(ids) and (n > 0).all()
-    texts = ["", None, "the The", " été\n"]
-    w = lm_score.words_of(*text_bytes(pa.array(texts)))
+    words = [b"the", "été".encode(), b"don't", b"!!!", "\xa0".encode(), "\xa0\xa0x".encode(), b"y" * 5000, b"12ab", "é".encode() * 4000]
+    alone = [sub.one(w) for w in words]
+    for some in (words, words[:4], words[6:], words[:4] + words[6:]):  # whatever stands beside it
+        ids, n = sub.of(some)
+        assert [p.tolist() for p in np.split(ids, np.cumsum(n)[:-1])] == [alone[words.index(w)] for w in some]
+    w = lm_score.words_of(*text_bytes(pa.array(["", None, "the The", " été\n"])))
     assert w.counts.tolist() == [1, 1, 3, 2]
-    flat, lengths = lm_score.ids_of(w, sub)
-    parts = np.split(flat, np.cumsum(lengths)[:-1])
-    assert [p[-1] for p in parts] == [sub.end] * 4 and [sub.encoding.decode(p[:-1].tolist()) for p in parts] == ["", "", " the the", " été"]
-    assert F.col("x") is not None
+    spelling = lm_score.Spelling.of(w, sub)
+    decoded = [sub.encoding.decode(p.tolist()) for p in np.split(spelling.ids, np.cumsum(spelling.lengths)[:-1])[1:]]
+    assert spelling.ids[0] == sub.end and decoded == [" the", " été"] and w.tokens.tolist() == [0, 0, 1, 1, 0, 2, 0]
