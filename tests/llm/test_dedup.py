@@ -5,8 +5,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from webgrain.llm import decontaminate, graph, minhash_dedup, vector_dedup
-from webgrain.llm.common import chunks, span_hashes, spans, text_bytes
+from webgrain.llm import common, graph, minhash_dedup, vector_dedup
+from webgrain.llm.common import BLANK, chunks, span_hashes, spans, text_bytes
 
 from .test_filters import DOCS, LOW, with_clashes
 
@@ -46,7 +46,7 @@ def test_runs_hold_back_the_last_group():
 def test_word_hashes_tell_words_and_texts_apart():
     texts = ["ab cd", "", None, "ab\tcd ab", "abcd", "É ab", "x" * 3000]
     raw, offsets = text_bytes(pa.array(texts))
-    starts, ends, counts = spans(raw, offsets, __import__("webgrain.llm.common", fromlist=["BLANK"]).BLANK)
+    starts, ends, counts = spans(raw, offsets, BLANK)
     assert counts.tolist() == [2, 0, 0, 3, 1, 2, 1]
     h = span_hashes(raw, starts, ends)
     word = [raw[a:b].tobytes() for a, b in zip(starts, ends)]
@@ -201,7 +201,8 @@ def test_lattice_dedup_of_nothing(spark):
 
 def test_sized_broadcasts_small_tables_only(spark):
     df = spark.range(10)
-    assert "broadcast" in decontaminate.sized(df)._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in decontaminate.sized(df, 5)._jdf.queryExecution().logical().toString().lower()
-    assert df.join(decontaminate.sized(spark.range(3), 1), "id").count() == 3
-    assert F.col("id") is not None
+    assert "broadcast" in common.sized(df)._jdf.queryExecution().logical().toString().lower()
+    long = df.select(F.array(F.repeat(F.lit("x"), 100)).alias("texts"))
+    for big in (common.sized(df, 5), common.sized(long, most=900)):
+        assert "broadcast" not in big._jdf.queryExecution().logical().toString().lower()
+    assert df.join(common.sized(spark.range(3), 1), "id").count() == 3

@@ -1,5 +1,6 @@
 """URL filter, WARC archives, packing and decontamination against brute force."""
 
+import decimal
 import fnmatch
 import hashlib
 import re
@@ -162,16 +163,18 @@ def check_pieces(texts, rows, tiers=packing.TIERS):
 
 def test_packing_is_exact_and_full(spark):
     rng = np.random.default_rng(1)
-    texts = [(i, " ".join(rng.choice(["alpha", "beta!!", "Été", "x9", "\n"], rng.integers(0, 900)))) for i in range(80)]
-    texts += [(100, None), (101, ""), (102, "word " * 30000), (103, "<|endoftext|> a"), (104, "漢字 \u200b \U0001f600"), (105, "a" * 5000), (106, "\x85\xa0  \u2028x")]
+    texts = [(i, " ".join(rng.choice(["alpha", "beta!!", "Été", "x9", "\n"], rng.integers(0, 900)))) for i in range(160)]
+    texts += [(200, None), (201, ""), (202, "word " * 30000), (203, "<|endoftext|> a"), (204, "漢字 \u200b \U0001f600"), (205, "a" * 5000), (206, "\x85\xa0  \u2028x")]
     df = with_clashes(spark.createDataFrame(texts, DOCS).coalesce(2))
-    rows = packing.pack(df).collect()
+    rows = packing.pack(df, pool_tokens=40_000).collect()
     padded, windows = check_pieces(texts, rows)
     assert padded <= 2 and windows > 100
-    loads = defaultdict(int)
-    for r in rows:
-        loads[r.step_group] += r.length
-    assert max(loads.values()) - min(loads.values()) <= 4 * packing.TIERS[-1]
+    by = {r.sequence_id: (r.tier, r.sequence_tokens, r.step_group) for r in rows}
+    assert sum(t == used for t, used, _ in by.values()) >= len(by) - 2  # windows of each size are full, but the tasks' last ones
+    assert len({t for t, _, _ in by.values()}) >= 3
+    for tier in packing.TIERS:
+        groups = [sum(g == k and t == tier for t, _, g in by.values()) for k in range(packing.STEP_GROUPS)]
+        assert max(groups) - min(groups) <= 1
 
 
 def test_packing_repeated_and_no_rows(spark):
@@ -180,10 +183,23 @@ def test_packing_repeated_and_no_rows(spark):
     assert sum(r.length for r in twice) == 2 * twice[0].doc_tokens
 
 
-def test_pool_fills_gaps_from_shorter_tiers():
+@pytest.mark.parametrize("kind,keys", [("smallint", [1, 2]), ("decimal(9,1)", [decimal.Decimal("1.5"), None]), ("string", ["a", "a"]), ("double", [0.5, 1.5]), ("struct<a:int,b:string>", [(1, "x"), (2, None)])])
+def test_packing_with_keys_of_any_type(spark, kind, keys):
+    rows = packing.pack(spark.createDataFrame([(k, "a b") for k in keys], f"doc_id {kind}, text string"), with_ids=True).collect()
+    assert sorted(str(r.doc_id if not isinstance(r.doc_id, tuple) else tuple(r.doc_id)) for r in rows) == sorted(map(str, keys)) and {len(r.ids) for r in rows} == {3}
+
+
+def test_each_tier_is_packed_and_gaps_filled_from_shorter_ones():
     ids = lambda n: np.zeros(n, np.uint32)
-    windows = packing.pack_pool([(0, 0, ids(1000)), (1, 0, ids(24)), (2, 0, ids(700)), (3, 0, ids(300)), (4, 0, ids(24))])
-    assert sorted(sorted(len(p[2]) for p in w) for w in windows) == [[24, 300, 700], [24, 1000]]
+    made, left = packing.pack_pool([(k, 0, ids(n)) for k, n in enumerate([1000, 24, 700, 300, 24, 500, 10, 300, 212, 100, 28, 2])])
+    assert [(size, sorted(len(p[2]) for p in w)) for size, w in made] == [(1024, [24, 1000]), (1024, [24, 300, 700]), (512, [2, 10, 500]), (512, [212, 300]), (128, [28, 100])] and not left
+    made, left = packing.pack_pool([(0, 0, ids(700)), (1, 0, ids(600))])  # the shorter one is cut
+    assert [[(p[0], p[1], len(p[2])) for p in w] for _, w in made] == [[(0, 0, 700), (1, 0, 324)]] and [(p[0], p[1], len(p[2])) for p in left] == [(1, 324, 276)]
+    rng = np.random.default_rng(3)
+    some = [(k, 0, ids(int(n))) for k, n in enumerate(rng.integers(1, 1025, 500))]
+    made, left = packing.pack_pool(some)
+    assert all(sum(len(p[2]) for p in w) == size for size, w in made) and sum(len(p[2]) for p in left) < 1024
+    assert sum(len(p[2]) for _, w in made for p in w) + sum(len(p[2]) for p in left) == sum(len(p[2]) for p in some)
 
 
 # -- decontamination ---------------------------------------------------------------
@@ -235,7 +251,7 @@ def test_decontamination_against_brute_force(spark):
 
 
 def test_decontamination_by_shuffle_and_of_nothing(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate.sized, "__defaults__", (0,))
+    monkeypatch.setattr(decontaminate.sized, "__defaults__", (0, 0))
     docs, tests = spark.createDataFrame([(1, TEXT), (2, "clean"), (3, None)], DOCS), spark.createDataFrame(TESTS, "item_id long, text string")
     got = {r.doc_id: r.n_hit for r in decontaminate.decontaminate(docs, tests).collect()}
     assert got == {1: len(words(TEXT)), 2: 0, 3: 0}

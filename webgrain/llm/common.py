@@ -54,6 +54,31 @@ def written(df: DataFrame, name: str, *, partition_by: str | None = None) -> Dat
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+#: A table of more rows, or of more bytes, is joined by a shuffle, not broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
+
+
+def _row_bytes(schema) -> Column:
+    """About what a row takes: its texts and arrays as they are, other cells 16 bytes."""
+    total = F.lit(16)
+    for f in schema.fields:
+        kind, c = f.dataType.simpleString(), F.col(f"`{f.name}`")
+        if kind in ("string", "binary"):
+            size = F.octet_length(c)
+        elif kind.startswith(("array", "map", "struct")):
+            size = F.octet_length(F.to_json(F.struct(c)))
+        else:
+            size = F.lit(0)
+        total = total + F.coalesce(size, F.lit(0)) + 16
+    return total.cast("long")
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for a broadcast if it has been measured to be small in rows and bytes."""
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(_row_bytes(df.schema)), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= most else df
+
+
 def crc_mod(column: Column, n: int) -> Column:
     """crc32 of the value as text, modulo n; null counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % n
@@ -80,7 +105,7 @@ def first_by_hash(df: DataFrame, key: str, rows: int, *, by: str | None = None)
         some = df.where(F.pmod(h, F.lit(n)) < 4 * rows) if n > 4 * rows else df
         return some.orderBy(h, key).limit(rows)
     counts = df.groupBy(by).agg(F.count("*").alias("count_of")).withColumnRenamed(by, "value_of")
-    some = df.join(F.broadcast(counts), F.col(by) == F.col("value_of")).where(F.pmod(h, F.col("count_of")) < 4 * rows)  # a row a value
+    some = df.join(sized(counts), F.col(by) == F.col("value_of")).where(F.pmod(h, F.col("count_of")) < 4 * rows)
     w = Window.partitionBy(by).orderBy(h, key)
     return some.withColumn("place_of", F.row_number().over(w)).where(F.col("place_of") <= rows).drop("value_of", "count_of", "place_of")
 

@@ -13,15 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, narrow, written
+from .common import ascii_lower, narrow, sized, written
 
 #: What parts words: ASCII characters but digits and small letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Rarest words of a window whose lists are intersected.
 ANCHORS = 2
-#: A table of more rows is joined by a shuffle, not broadcast.
-BROADCAST_ROWS = 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -29,11 +27,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), BETWEEN), "")
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for a broadcast if it has been counted to be small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def windows_of(texts: DataFrame, item: str, text: str, size: int) -> DataFrame:
     """Distinct windows: words, items (the ids of the texts that have it).
 

@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, LOWER, chunks, lean, mix, narrow, span_hashes, spans, text_bytes, written
-from .decontaminate import sized
+from .common import BLANK, LOWER, chunks, lean, mix, narrow, sized, span_hashes, spans, text_bytes, written
 from .graph import components, runs, star_edges
 
 #: Production parameters of near-duplicate stages: words in a shingle, per cent of similarity.
