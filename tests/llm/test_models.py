@@ -54,6 +54,41 @@ def test_backpropagation_through_time_is_the_gradient():
             assert abs((up - down) / 2e-2 - gf[k]) < 2e-3 + 0.05 * abs(gf[k])
 
 
+def plain_gru(net, text):
+    """Mean probabilities of a text's bytes, one segment, one byte and one gate after the other."""
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    hidden = net.u.shape[1]
+    total, data = np.zeros(len(net.langs)), text.encode()
+    for at in range(0, len(data), language.SEGMENT):
+        piece = data[at : at + language.SEGMENT]
+        sides = []
+        for side, order in ((0, range(len(piece))), (1, range(len(piece) - 1, -1, -1))):
+            h, states = np.zeros(hidden), {}
+            for t in order:
+                x, u = net.x[side][piece[t]].astype(float), net.u[side].astype(float)
+                z = sig(x[:hidden] + h @ u[:, :hidden])
+                r = sig(x[hidden : 2 * hidden] + h @ u[:, hidden : 2 * hidden])
+                new = np.tanh(x[2 * hidden :] + r * (h @ u[:, 2 * hidden :]))
+                h = z * h + (1 - z) * new
+                states[t] = h
+            sides.append(states)
+        for t in range(len(piece)):
+            logits = np.concatenate([sides[0][t], sides[1][t]]) @ net.out + net.bias
+            e = np.exp(logits - logits.max())
+            total += e / e.sum()
+    return total / len(data)
+
+
+def test_pooled_probabilities_are_those_of_a_plain_network():
+    net = language.fresh(["a", "b", "c"])
+    for p in (net.x, net.u, net.out):
+        p *= 2
+    net.bias[:] = [0.1, -0.3, 0.2]
+    texts = ["short", "a longer text " * 30, "é" * 100, "x"]
+    got = language.pooled(net, *text_bytes(pa.array(texts)))
+    assert np.allclose(got, [plain_gru(net, t) for t in texts], atol=1e-4)
+
+
 def test_padding_and_batches_change_nothing():
     net = language.fresh(["a", "b", "c"])
     texts = ["short", "a longer text " * 30, "", "é" * 100]
@@ -65,6 +100,15 @@ def test_padding_and_batches_change_nothing():
     assert np.allclose(whole.sum(axis=1), 1)
 
 
+def test_languages_of_long_texts_alone_are_learnt(spark):
+    rng = np.random.default_rng(6)
+    docs = [(i, prose(rng, "en", 40), "en") for i in range(60)] + [(100 + i, prose(rng, "fr", 9000), "fr") for i in range(9)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)
+    net = language.train(df)
+    assert net.langs == ["en", "fr"] and min(len(t.encode()) for _, t, x in docs if x == "fr") > 1 << 15
+    assert all(r.lang_pred == ("fr" if r.doc_id >= 100 else "en") for r in language.identify(df, net).collect())
+
+
 def test_language_on_held_out_documents(spark):
     rng = np.random.default_rng(1)
     docs = [(i, prose(rng, lang, int(rng.integers(5, 80))), lang) for i, lang in enumerate(rng.choice(["en", "fr", "de"], 150).tolist())]

@@ -20,9 +20,10 @@ from .common import chunks, crc_mod, first_by_hash, lean, narrow, text_bytes
 
 HIDDEN = 12
 SEGMENT = 128
-#: The sample that the network is trained on: so many documents of each language,
-#: of at most so many bytes, the first by a hash of their id.
-SAMPLE_DOCS, SAMPLE_BYTES = 500, 1 << 15
+#: The sample that the network is trained on: so many documents of each language, the
+#: first by a hash of their id, and of each a run of so many characters at most, from a
+#: place that depends on the id, so that long texts are learnt from as well.
+SAMPLE_DOCS, SAMPLE_CHARS = 500, 4096
 STEPS, BATCH, CROP = 500, 192, 64
 #: Segments that are read side by side.
 SIDE_BY_SIDE = 768
@@ -183,8 +184,10 @@ def pooled(net: Network, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Network:
     """A network of a bounded sample of labelled documents outside the held-out fold."""
-    usable = narrow(docs, key, text, lang).where((crc_mod(F.col(key), 3) != 1) & F.col(lang).isNotNull() & (F.octet_length(text).between(1, SAMPLE_BYTES)))
-    rows = first_by_hash(usable, key, sample_docs, by=lang).orderBy(lang, F.xxhash64(key), key, text).collect()
+    usable = narrow(docs, key, text, lang).where((crc_mod(F.col(key), 3) != 1) & F.col(lang).isNotNull() & (F.length(text) > 0))
+    place = F.pmod(F.xxhash64(key), F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    crops = usable.select(key, F.col(lang).cast("string").alias(lang), F.col(text).cast("string").alias(text)).withColumn(text, F.col(text).substr(place, F.lit(SAMPLE_CHARS)))
+    rows = first_by_hash(crops, key, sample_docs, by=lang).orderBy(lang, F.xxhash64(key), key, text).collect()
     return fit([(r[text].encode(), r[lang]) for r in rows])
 
 
