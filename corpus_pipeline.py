@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webgrain.llm import decontaminate, language, minhash_dedup, packing, quality
-from webgrain.llm.common import narrow, written
+from webgrain.llm.common import narrow, sized, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document's language must be this certain.
@@ -30,7 +30,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows whose key isn't one of the keys."""
-    gone = decontaminate.sized(keys.select(F.col("key").alias("gone")).distinct())
+    gone = sized(keys.select(F.col("key").alias("gone")).distinct())
     return docs.join(gone, F.col("key").eqNullSafe(F.col("gone")), "left_anti")
 
 
@@ -53,7 +53,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     near = written(minhash_dedup.near_duplicates(docs, key="key"), "near")
     left = _without(docs, near.where("NOT kept"))
     again = near.where("kept").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")  # rows that repeat whole
-    some = decontaminate.sized(again.select(F.col("key").alias("again")))
+    some = sized(again.select(F.col("key").alias("again")))
     same = F.col("key").eqNullSafe(F.col("again"))
     once = left.join(some, same, "left_semi").dropDuplicates(["key"])
     return left.join(some, same, "left_anti").unionByName(once).select(*COLUMNS)
