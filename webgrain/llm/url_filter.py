@@ -138,20 +138,18 @@ def filter_urls(
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Automaton([*rules, *defaults])
-        rank = np.array([len(r.glob) for r in machine.rules] or [0])
+        own = np.arange(len(machine.rules)) < len(rules)
+        # the rules' own before the defaults, then the longest, then the first given
+        order = sorted(range(len(machine.rules)), key=lambda k: (not own[k], -len(machine.rules[k].glob), k))
+        globs = np.array([*(machine.rules[k].glob if own[k] else None for k in order), None], dtype=object)
+        said = np.array([*(machine.rules[k].verdict for k in order), otherwise], dtype=object)
         for batch in batches:
             parts = [host_path(u) for u in batch.column(1).to_pylist()]
             hosts, paths = [h for h, _ in parts], [p for _, p in parts]
             fits = machine.match(hosts, paths)
-            named, verdicts = [], []
-            for row in fits:
-                best = lambda a, b: max((k for k in range(a, b) if row[k]), key=lambda k: (rank[k], -k), default=None)  # noqa: B023, E731
-                own = best(0, len(rules))
-                other = best(len(rules), len(machine.rules)) if own is None else own
-                named.append(None if own is None else rules[own].glob)
-                verdicts.append(otherwise if other is None else machine.rules[other].verdict)
+            best = np.append(fits[:, order], np.ones((len(fits), 1), bool), axis=1).argmax(axis=1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(named, pa.string()), pa.array(verdicts, pa.string())],
+                [batch.column(0), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(globs[best], pa.string()), pa.array(said[best], pa.string())],
                 names=[key, "host", "path", "rule", "verdict"],
             )
 
