@@ -79,12 +79,12 @@ def counted_terms(docs: DataFrame, key: str, text: str, windows: DataFrame) -> D
 
 def find_occurrences(docs: DataFrame, windows: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, hits): candidate starts of windows in each document that has any, as
-    an array of (start, words, items)."""
+    an array of (start, words, window)."""
     counts = written(counted_terms(docs, key, text, windows), "counts")
     anchors = written(anchors_of(windows, counts, ANCHORS), "anchors")
     index = written(postings(docs, key, text, sized(anchors.select("term").distinct())), "postings")
-    found = candidates(index, anchors).join(sized(windows), "window")
-    return found.groupBy("key").agg(F.collect_list(F.struct("start", "words", "items")).alias("hits"))
+    found = candidates(index, anchors).join(sized(windows.select("window", "words")), "window")
+    return found.groupBy("key").agg(F.collect_list(F.struct("start", "words", "window")).alias("hits"))
 
 
 def decontaminate(
@@ -113,10 +113,14 @@ def decontaminate(
         ),
     )[0]
     judged = named.withColumn("found", verified).select(
-        key, *([text] if keep_text else []), F.col("found.n_words").alias("n_words"),
+        F.monotonically_increasing_id().alias("row_id"), key, *([text] if keep_text else []), F.col("found.n_words").alias("n_words"),
         F.size(F.array_distinct(F.flatten(F.transform("found.hits", lambda h: F.sequence(h["start"], h["start"] + F.size(h["words"]) - 1))))).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.transform("found.hits", lambda h: h["items"])))).alias("items"),
+        F.array_distinct(F.transform("found.hits", lambda h: h["window"])).alias("occurring"),
     )
+    judged = written(judged, "judged")  # as a table its rows' numbers stand
+    tests_of = windows.select("window", F.explode("items").alias("item"))
+    of_row = judged.select("row_id", F.explode("occurring").alias("window")).join(sized(tests_of), "window").groupBy("row_id").agg(F.collect_set("item").alias("items"))
+    judged = judged.join(of_row, "row_id", "left").drop("row_id", "occurring").withColumn("items", F.array_sort(F.coalesce("items", F.array().cast("array<string>"))))
     clean = docs.join(ids, same, "left_anti").select(
         key, *([text] if keep_text else []), F.size(words_of(F.col(text))).cast("long").alias("n_words"),
         F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"),
@@ -132,13 +136,15 @@ def search(docs: DataFrame, phrases: DataFrame, *, key: str = "doc_id", text: st
     The rarest word of a phrase fixes where the phrase would start; the match
     holds if each word of the phrase occurs at most ``slop`` positions from its
     place there, and is exact if all are in place.  Phrases without words and
-    documents without text match nothing.
+    documents without text match nothing, nor does an empty table of either.  A
+    match lies in one row: rows that share a key, or have none, are searched each
+    for itself, and rows that repeat whole give their matches once.
     """
-    docs = narrow(docs, key, text)
+    docs = narrow(docs, key, text).select(F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("hash")).alias("row"), text)
     windows = written(windows_of(phrases, item, item_text, 1 << 30), "phrases")
-    counts = written(counted_terms(docs, key, text, windows), "counts")
+    counts = written(counted_terms(docs, "row", text, windows), "counts")
     places = written(anchors_of(windows, counts, 1 << 30), "places")
-    index = written(postings(docs, key, text, sized(places.select("term").distinct())), "postings")
+    index = written(postings(docs, "row", text, sized(places.select("term").distinct())), "postings")
     each = index.join(sized(places), "term").select("key", "window", "anchors", "rank", (F.col("position") - F.col("place")).alias("start"))
     width = 2 * slop + 1
     first = each.where("rank = 0").select("key", "window", "anchors", F.col("start").alias("base")).withColumn(
@@ -148,7 +154,7 @@ def search(docs: DataFrame, phrases: DataFrame, *, key: str = "doc_id", text: st
     off = near.groupBy("key", "window", "anchors", "base", "rank").agg(F.min(F.abs(F.col("start") - F.col("base"))).alias("off"))
     full = off.groupBy("key", "window", "anchors", "base").agg(F.count("*").alias("n"), F.max("off").alias("most")).where("n = anchors")
     return full.join(sized(windows), "window").select(
-        F.col("key").alias(key), F.explode("items").alias(item), F.col("base").alias("start"), (F.col("most") == 0).alias("exact")
+        F.col("key.key").alias(key), F.explode("items").alias(item), F.col("base").alias("start"), (F.col("most") == 0).alias("exact")
     )
 
 
