@@ -105,6 +105,20 @@ def test_archives_round_trip(spark, tmp_path):
     assert sorted((tuple(r)[:5] for r in rows), key=key) == sorted(want, key=key)
 
 
+@pytest.mark.parametrize("kind,keys", [("smallint", [3, 2, 1]), ("decimal(9,1)", [decimal.Decimal("2.5"), decimal.Decimal("1.0"), None]), ("string", ["b+ %\r\n:é", "a", ""])])
+def test_archives_with_keys_of_any_type(spark, tmp_path, kind, keys):
+    df = spark.createDataFrame([(k, "u", "x" * 100) for k in keys], f"page_id {kind}, url string, html string")
+    rows = archives.convert_pages(df, f"file://{tmp_path}/warc").collect()
+    low = min(k for k in keys if k is not None)
+    assert sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in rows) == sorted((str(k), "response" if k == low else "revisit", str(None if k == low else low)) for k in keys)
+
+
+def test_archive_files_are_bounded_by_bytes(spark):
+    records = spark.createDataFrame([(5,), (archives.FILE_BYTES // 4,)], "bytes long")
+    assert archives.records_per_file(records) == 3 and archives.records_per_file(records.where("bytes = 5")) == archives.FILE_RECORDS
+    assert archives.records_per_file(records.limit(0)) == archives.FILE_RECORDS
+
+
 def test_archives_of_nothing(spark, tmp_path):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert archives.convert_pages(empty, f"file://{tmp_path}/none").count() == 0
@@ -265,3 +279,12 @@ def test_phrase_and_proximity_search(spark):
     assert [(r.doc_id, r.exact) for r in decontaminate.search(docs, phrases).collect()] == [(1, True)]
     near = {(r.doc_id, r.exact) for r in decontaminate.search(docs, phrases, slop=1).collect()}
     assert near == {(1, True), (2, False)}
+
+
+def test_search_is_by_row(spark):
+    rows = [(1, "alpha zzz"), (1, "yyy beta"), (2, "alpha beta alpha beta"), (2, "alpha beta alpha beta"), (None, "an alpha beta"), (None, "alpha"), (3, "beta")]
+    phrases = spark.createDataFrame([(9, "Alpha beta"), (8, "alpha, BETA"), (7, None), (6, "!")], "item_id long, text string")
+    found = decontaminate.search(spark.createDataFrame(rows, DOCS), phrases).collect()
+    assert sorted((str(r.doc_id), r.item_id, r.start, r.exact) for r in found) == sorted((k, i, s, True) for k, s in (("2", 0), ("2", 2), ("None", 1)) for i in ("8", "9"))
+    assert decontaminate.search(spark.createDataFrame([], DOCS), phrases).count() == 0
+    assert decontaminate.search(spark.createDataFrame(rows, DOCS), phrases.limit(0)).count() == 0

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import urllib.parse
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -34,6 +35,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 #: Equal payloads of fewer bytes are all kept as responses.
 REVISIT_FROM = 100
+#: Bytes of payload in a file, and records, at most: a file is read back whole, one record of more bytes alone.
+FILE_BYTES, FILE_RECORDS = 64 << 20, 50_000
 
 
 @dataclass(frozen=True)
@@ -115,8 +118,9 @@ def to_records(df: DataFrame, *, key: str = "page_id", url: str = "url", body: s
     Each row is rendered as a small ARC file (version 1 or 2 by its key) and read
     by the converter, so what goes on is what the legacy format carries.
     """
-    source = narrow(df, key, url, body).select(F.col(key).cast("long").alias(key), F.col(url).cast("string").alias(url), F.col(body).cast("string").alias(body))
-    schema = f"{key} long, uri string, date string, mime string, id string, digest string, bytes long, payload binary"
+    source = narrow(df, key, url, body).select(F.col(key), F.col(url).cast("string").alias(url), F.col(body).cast("string").alias(body))
+    schema = f"{key} {source.schema[key].dataType.simpleString()}, uri string, date string, mime string, id string, digest string, bytes long, payload binary"
+    names = [key, "uri", "date", "mime", "id", "digest", "bytes", "payload"]
     heads = {v: arc_version_block(v) for v in ARC_FIELDS}
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,13 +128,13 @@ def to_records(df: DataFrame, *, key: str = "page_id", url: str = "url", body: s
             for at in range(0, whole.num_rows, 256):
                 rows = []
                 for k, u, b in zip(*(c.to_pylist() for c in whole.slice(at, 256).columns)):
-                    version = 1 + (k or 0) % 2
+                    version = 1 + zlib.crc32(str(k).encode()) % 2
                     (r,) = read_arc(heads[version] + arc_record(version, u, (b or "").encode()))
                     digest = hashlib.sha256(r.body).hexdigest()
                     rows.append((k, r.url, iso_date(r.date), r.mime, record_id(r.url, r.date, digest, str(k)), digest, len(r.body), r.body))
                 cols = zip(*rows)
-                kinds = [pa.int64(), *[pa.string()] * 5, pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in schema.split(", ")])
+                kinds = [whole.column(0).type, *[pa.string()] * 5, pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
     return source.mapInArrow(lean(convert), schema)
 
@@ -164,15 +168,16 @@ def warc_text(key: str = "page_id") -> Column:
     """
     revisit = F.col("record_type") == "revisit"
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
+    escaped = lambda c: F.replace(F.url_encode(F.col(c).cast("string")), F.lit("+"), F.lit("%20"))
     maybe = lambda name, value: F.when(value.isNull(), "").otherwise(line(name, value))
     return F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         line("WARC-Record-ID", F.col("id")), line("WARC-Date", F.col("date")),
-        maybe("WARC-Target-URI", F.col("uri")), maybe("WARC-Page-ID", F.col(key).cast("string")),
+        maybe("WARC-Target-URI", F.col("uri")), maybe("WARC-Page-ID", escaped(key)),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         line("WARC-Payload-Length", F.col("bytes").cast("string")),
-        maybe("WARC-Refers-To", F.col("refers_to_id")), maybe("WARC-Refers-To-Page-ID", F.col("refers_to").cast("string")),
+        maybe("WARC-Refers-To", F.col("refers_to_id")), maybe("WARC-Refers-To-Page-ID", escaped("refers_to")),
         F.when(revisit, f"WARC-Profile: {REVISIT_PROFILE}\r\n").otherwise(""),
         line("Content-Type", F.col("mime")),
         line("Content-Length", F.when(revisit, "0").otherwise(F.col("bytes").cast("string"))),
@@ -180,7 +185,13 @@ def warc_text(key: str = "page_id") -> Column:
     )
 
 
-def write_warc(records: DataFrame, path: str, *, key: str = "page_id", records_per_file: int = 50_000) -> None:
+def records_per_file(records: DataFrame) -> int:
+    """So many records that no file is larger than stated, unless one record is."""
+    most = records.agg(F.max("bytes")).first()[0] or 0
+    return max(1, min(FILE_RECORDS, FILE_BYTES // (most + 1024)))
+
+
+def write_warc(records: DataFrame, path: str, *, key: str = "page_id", records_per_file: int = FILE_RECORDS) -> None:
     """Gzipped WARC files in a folder on any file system that Spark knows."""
     (
         records.select(warc_text(key).alias("value")).write.mode("overwrite")
@@ -241,16 +252,16 @@ def inflated(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
         yield z.flush()
 
 
-def scan_warc(spark: SparkSession, path: str, *, key: str = "page_id") -> DataFrame:
+def scan_warc(spark: SparkSession, path: str, *, key: str = "page_id", key_type: str = "long") -> DataFrame:
     """key, payload_bytes, payload_digest, record_type, refers_to, uri, date of each record.
 
     A response's length and digest are those of the block that was read; a block
     that contradicts its headers raises ValueError.
     """
-    schema = f"{key} long, payload_bytes long, payload_digest string, record_type string, refers_to long, uri string, date string"
+    schema = "key string, payload_bytes long, payload_digest string, record_type string, refers_to string, uri string, date string"
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+        kinds = [pa.string(), pa.int64(), *[pa.string()] * 5]
         names = [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
             for data in batch.column(0):
@@ -259,8 +270,8 @@ def scan_warc(spark: SparkSession, path: str, *, key: str = "page_id") -> DataFr
                     said, n = h["warc-payload-digest"].removeprefix("sha256:"), int(h["warc-payload-length"])
                     if h["warc-type"] == "response" and (len(block) != n or hashlib.sha256(block).hexdigest() != said):
                         raise ValueError(f"{h['warc-record-id']}: the block contradicts its headers")
-                    number = lambda name: int(h[name]) if name in h else None  # noqa: B023, E731
-                    rows.append((number("warc-page-id"), n, said, h["warc-type"], number("warc-refers-to-page-id"), h.get("warc-target-uri"), h["warc-date"]))
+                    text = lambda name: urllib.parse.unquote(h[name]) if name in h else None  # noqa: B023, E731
+                    rows.append((text("warc-page-id"), n, said, h["warc-type"], text("warc-refers-to-page-id"), h.get("warc-target-uri"), h["warc-date"]))
                     if len(rows) == 8192:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
                         rows = []
@@ -268,19 +279,23 @@ def scan_warc(spark: SparkSession, path: str, *, key: str = "page_id") -> DataFr
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select("content").mapInArrow(lean(parse), schema)
+    found = files.select("content").mapInArrow(lean(parse), schema)
+    as_key = lambda c: F.col(c).cast(key_type)
+    return found.select(as_key("key").alias(key), "payload_bytes", "payload_digest", "record_type", as_key("refers_to").alias("refers_to"), "uri", "date")
 
 
 def convert_pages(df: DataFrame, path: str, *, key: str = "page_id", url: str = "url", body: str = "html", least: int = REVISIT_FROM) -> DataFrame:
     """Writes a WARC record for each row to ``path`` and returns what the archives say.
 
-    Null bodies are empty payloads; null urls are records without a target; rows
-    that repeat are records that repeat, each row of the smallest key being a
+    Keys may be of any type that a text can be cast back to; null bodies are empty
+    payloads; null urls are records without a target; rows that repeat are records that repeat, each row of the smallest key being a
     response; a null key never is the one that others refer to; an empty table
     gives an empty folder and table; other columns are dropped.
     """
-    write_warc(with_revisits(to_records(df, key=key, url=url, body=body), key=key, least=least), path, key=key)
-    return scan_warc(df.sparkSession, path, key=key)
+    sizes = narrow(df, body).select(F.octet_length(F.col(body).cast("string")).alias("bytes"))
+    records = to_records(df, key=key, url=url, body=body)  # converted twice: kept payloads would take more disk than the archives
+    write_warc(with_revisits(records, key=key, least=least), path, key=key, records_per_file=records_per_file(sizes))
+    return scan_warc(df.sparkSession, path, key=key, key_type=records.schema[key].dataType.simpleString())
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
