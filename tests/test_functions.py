@@ -172,3 +172,25 @@ def test_gold_and_load_files(spark, tmp_path):
     load = {"summary": {"vus": 2}, "metrics": {"http_reqs": {"type": "counter", "contains": "default", "values": {"count": 5.0, "rate": 2.5}}}}
     (tmp_path / "l.json").write_text(json.dumps(load, indent=1))
     assert {(r.metric, r.measure): r.value for r in tables.load_summary(spark, f"file://{tmp_path}/l.json").collect()} == {("http_reqs", "count"): 5.0, ("http_reqs", "rate"): 2.5}
+
+
+def test_signatures_are_hmacs(spark):
+    import hashlib
+    import hmac
+
+    from webgrain.operators.requests import sign
+
+    rows = [("body", "key"), ("", "k" * 64), ("é{}", "l" * 65), ("x" * 1000, "ü"), (None, "k"), ("b", None)]
+    got = [r[0] for r in spark.createDataFrame(rows, "payload string, secret string").coalesce(1).select(sign()).collect()]
+    assert got == [None if b is None or k is None else "sha256=" + hmac.new(k.encode(), b.encode(), hashlib.sha256).hexdigest() for b, k in rows]
+
+
+def test_sessions_are_numbered_over_ranges(spark):
+    from webgrain.operators.routing import proxy_sessions
+
+    rows = [("ab"[i % 2], f"2024-01-01 00:{i * 7 % 60:02d}:00", i) for i in range(100)]
+    log = spark.createDataFrame(rows, "kind string, at string, id long").withColumn("at", F.col("at").cast("timestamp"))
+    for parts in (1, 4, 7):
+        got = {r.id: int(r.session, 36) for r in proxy_sessions(log, "kind", ["at", "id"], parts).collect()}
+        assert got == {i: n for kind in "ab" for n, (_, i) in enumerate(sorted((at, i) for k, at, i in rows if k == kind), 1)}
+    assert proxy_sessions(log.limit(0), "kind", ["at", "id"]).count() == 0

@@ -1,4 +1,4 @@
-"""Every query with SQL against DuckDB over the smallest tables, the others for shape."""
+"""Every query with SQL against DuckDB over the tables that the driver compares, the others for shape."""
 
 import datetime
 import decimal
@@ -10,7 +10,7 @@ import pytest
 
 from webgrain.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

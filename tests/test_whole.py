@@ -42,14 +42,14 @@ def test_stream_rate_5m_all_keeps_every_closed_window(spark, events):
     folder, rows = events
     closed = max(r[1] for r in rows) - LATE
     want = Counter(at for r in rows for at in minute_windows(r[1]) if at <= closed)
-    assert found(spark, "stream_rate_5m_all", folder) == sorted((text(at), n) for at, n in want.items())
+    assert found(spark, "stream_rate_5m", folder) == sorted((text(at), n) for at, n in want.items())
 
 
 def test_rate_5m_all_counts_every_day_and_across_midnight(spark, events):
     folder, rows = events
     want = Counter((at, "failed" if r[3] == "error" else "completed") for r in rows for at in minute_windows(r[1]))
     assert {at.date() for at, _ in want} > {dt.date(2025, 3, 10)}
-    assert found(spark, "rate_5m_all", folder) == sorted((text(at), status, n, round(n / 300, 6)) for (at, status), n in want.items())
+    assert found(spark, "rate_5m", folder) == sorted((text(at), status, n, round(n / 300, 6)) for (at, status), n in want.items())
 
 
 def test_stream_usage_all_keeps_every_closed_window(spark, events):
@@ -57,10 +57,10 @@ def test_stream_usage_all_keeps_every_closed_window(spark, events):
     closed = max(r[1] for r in rows) - LATE
     hours = Counter((r[1].replace(minute=0, second=0), r[3]) for r in rows)
     want = sorted((text(h), kind, n) for (h, kind), n in hours.items() if h + 60 * MINUTE <= closed)
-    assert found(spark, "stream_hourly_usage_all", folder) == want
+    assert found(spark, "stream_hourly_usage", folder) == want
     days = Counter(r[1].replace(hour=0, minute=0, second=0) for r in rows)
     want = sorted((text(d), n) for d, n in days.items() if d + dt.timedelta(days=1) <= closed)
-    assert want and found(spark, "stream_daily_usage_all", folder) == want
+    assert want and found(spark, "stream_daily_usage", folder) == want
 
 
 def test_stream_sessions_all_keeps_every_closed_session(spark, tmp_path):
@@ -69,7 +69,7 @@ def test_stream_sessions_all_keeps_every_closed_session(spark, tmp_path):
     rows = [(10 * user + i, begin + dt.timedelta(hours=h), user, "view", 1.0) for user, hs in hours.items() for i, h in enumerate(hs)]
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     at = lambda h: text(begin + dt.timedelta(hours=h))
-    assert found(spark, "stream_sessions_all", str(tmp_path)) == [(1, at(0), at(16), 3), (1, at(40), at(47), 2), (2, at(3), at(9), 1), (2, at(30), at(36), 1)]
+    assert found(spark, "stream_sessions", str(tmp_path)) == [(1, at(0), at(16), 3), (1, at(40), at(47), 2), (2, at(3), at(9), 1), (2, at(30), at(36), 1)]
 
 
 class Slow:

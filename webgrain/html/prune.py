@@ -14,11 +14,13 @@ DROPPED = Selector(
 )
 # Prefixes of classes that only style.
 UTILITY = (
-    "p m px py mx my pt pb pl pr mt mb ml mr w h min-w max-w min-h max-h text bg border rounded flex grid gap space items justify self content order col row inline "
-    "block hidden visible opacity shadow ring outline cursor pointer select overflow whitespace truncate font leading tracking align float clear sticky fixed absolute "
-    "relative static top bottom left right z transform translate rotate scale transition duration ease delay animate hover focus active disabled group peer dark sm md "
-    "lg xl 2xl"
-).split()
+    "p", "m", "px", "py", "mx", "my", "pt", "pb", "pl", "pr", "mt", "mb", "ml", "mr", "w", "h", "min-w", "max-w", "min-h", "max-h", "text",
+    "bg", "border", "rounded", "flex", "grid", "gap", "space", "items", "justify", "self", "content", "order", "col", "row", "inline", "block",
+    "hidden", "visible", "opacity", "shadow", "ring", "outline", "cursor", "pointer", "select", "overflow", "whitespace", "truncate", "font",
+    "leading", "tracking", "align", "float", "clear", "sticky", "fixed", "absolute", "relative", "static", "top", "bottom", "left", "right",
+    "z", "transform", "translate", "rotate", "scale", "transition", "duration", "ease", "delay", "animate", "hover", "focus", "active",
+    "disabled", "group", "peer", "dark", "sm", "md", "lg", "xl", "2xl",
+)
 _UTILITY = re.compile(rf"(?:[a-z]+:)?(?:{'|'.join(UTILITY)})[-:].+")
 KEPT_ATTRIBUTES = {"": {"class", "aria-label", "title", "itemtype", "itemprop"}, "a": {"href"}, "img": {"src", "alt"}, "td": {"colspan", "rowspan"}, "th": {"colspan", "rowspan"}}
 STRUCTURAL = frozenset(("table", "tr", "ul", "ol", "dl", "tbody", "thead"))
@@ -31,44 +33,74 @@ def semantic_classes(value: str, most: int = 6) -> str:
     return " ".join([c for c in value.split() if not _UTILITY.fullmatch(c)][:most])
 
 
-def decode_ratings(doc: Element) -> None:
-    """Ratings that are written as a class become an attribute and, in empty elements, text."""
-    for e in Selector("[class*=rating i], [class*=stars i]").all(doc):
-        n = next((RATINGS[w] for w in e.attrs["class"].lower().split() if w in RATINGS), None)
-        if n and not e.attrs.get("data-rating-decoded"):
-            e.attrs["data-rating-decoded"] = str(n)
-            if not e.text().strip():
-                e.children = [f"Rating: {n}/5"]
-
-
-def _meaningful(e: Element) -> bool:
-    return any(e.attrs.get(a) for a in KEPT_ATTRIBUTES[""]) or any(k.startswith("data-") for k in e.attrs)
+class _Kept:
+    """What is left of an element once all below it has been seen."""
+
+    __slots__ = ("source", "todo", "nodes", "says", "shows")
+
+    def __init__(self, source: Element):
+        self.source, self.todo = source, iter(source.children)
+        self.nodes: list[Element | str] = []
+        self.says = self.shows = False  # holds text, an image
+
+    def take(self, nodes: list[Element | str], says: bool, shows: bool) -> None:
+        self.nodes += nodes
+        self.says |= says
+        self.shows |= shows
+
+    def attributes(self) -> dict[str, str]:
+        allowed = KEPT_ATTRIBUTES[""] | KEPT_ATTRIBUTES.get(self.source.tag, set())
+        found = {k: semantic_classes(v) if k == "class" else v for k, v in self.source.attrs.items() if k in allowed or k.startswith("data-")}
+        return {k: v for k, v in found.items() if k != "class" or v}
+
+    def close(self) -> None:
+        """Hands what the element comes to to ``nodes``: itself, its children, or nothing."""
+        tag, attrs = self.source.tag, self.attributes()
+        names = self.source.attrs.get("class", "").lower()
+        stars = next((RATINGS[w] for w in names.split() if w in RATINGS), None) if "rating" in names or "stars" in names else None
+        if stars:
+            attrs.setdefault("data-rating-decoded", str(stars))
+            if not self.says:
+                self.nodes, self.says = [f"Rating: {stars}/5"], True
+        self.shows |= tag == "img"
+        means = any(v for k, v in attrs.items() if k in KEPT_ATTRIBUTES[""]) or any(k.startswith("data-") for k in attrs)
+        if not (self.says or self.shows or means or tag in STRUCTURAL):
+            self.nodes = []
+        elif attrs or tag not in ("div", "span"):
+            kept = Element(tag, attrs)
+            kept.children = self.nodes
+            self.nodes = [kept]
+
+
+def kept_nodes(doc: Element) -> list[Element | str]:
+    """The nodes that a model may need, in one walk that ends with each element's last child.
+
+    Ratings that are written as a class become an attribute and, in elements without
+    text, text; only listed attributes stay; elements that say, show and mean nothing
+    go, and bare containers give way to what they hold.
+    """
+    open_ones = [_Kept(doc)]
+    while True:
+        top = open_ones[-1]
+        child = next(top.todo, None)
+        if child is None:
+            if len(open_ones) == 1:
+                return top.nodes
+            open_ones.pop().close()
+            open_ones[-1].take(top.nodes, top.says, top.shows)
+        elif isinstance(child, str):
+            top.take([child], bool(child.strip()), False)
+        elif child.tag == "!--":
+            top.take([child], False, False)
+        elif not DROPPED.matches(child):
+            open_ones.append(_Kept(child))
 
 
 def prune(html: str, max_chars: int = MAX_CHARS) -> str:
     """The page without what a model doesn't need, cut off at a length."""
-    doc = parse(html)
-    decode_ratings(doc)
-    for e in DROPPED.all(doc):
-        e.remove()
-    for e in doc.elements():
-        keep = KEPT_ATTRIBUTES[""] | KEPT_ATTRIBUTES.get(e.tag, set())
-        if e.tag == "!--":
-            continue
-        e.attrs = {k: v for k, v in e.attrs.items() if k in keep or k.startswith("data-")}
-        if "class" in e.attrs:
-            e.attrs["class"] = semantic_classes(e.attrs["class"])
-            if not e.attrs["class"]:
-                del e.attrs["class"]
-    for e in list(doc.elements()):
-        if e.parent is None or e.tag == "!--" or e.tag in STRUCTURAL or e.tag == "img" or e.text().strip() or _meaningful(e):
-            continue
-        if not any(x.tag == "img" for x in e.elements()):
-            e.remove()
-    for e in list(doc.elements()):
-        if e.parent is not None and e.tag in ("div", "span") and not e.attrs:
-            e.replace_with_children()
-    out = re.sub(r"\n{3,}", "\n\n", re.sub(r">\s+<", "><", re.sub(r"\s{2,}", " ", doc.inner_html()))).strip()
+    page = Element("#document")
+    page.children = kept_nodes(parse(html))
+    out = re.sub(r"\n{3,}", "\n\n", re.sub(r">\s+<", "><", re.sub(r"\s{2,}", " ", page.inner_html()))).strip()
     return out if len(out) <= max_chars else out[:max_chars] + "\n<!-- truncated -->"
 
 

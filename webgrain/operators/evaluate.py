@@ -14,13 +14,13 @@ def nearest_rank(values: Column, p: float) -> Column:
     return F.get(values, F.least(n - 1, F.floor(F.lit(p) / 100 * n).cast("int")))
 
 
-def percentiles(df: DataFrame, by: list[str], value: str, ps: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
+def percentiles(df: DataFrame, by: list[str], value: str, ps: tuple[int, ...] = (50, 95, 99), *, times: str | None = None) -> DataFrame:
     """Nearest-rank percentiles of each group without gathering a group in one task.
 
-    Values are counted first, so a group's rows are its different values; a running
+    Values are counted first (``times`` says how often a row counts), so a group's rows are its different values; a running
     count then finds where each rank falls.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_times"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg((F.sum(times) if times else F.count("*")).alias("_times"))
     w = Window.partitionBy(*by).orderBy(value)
     ranked = counted.withColumns({"_upto": F.sum("_times").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_times").over(Window.partitionBy(*by))})
     at = lambda p: F.least(F.col("_all") - 1, F.floor(F.lit(p) / 100 * F.col("_all")))
@@ -29,7 +29,7 @@ def percentiles(df: DataFrame, by: list[str], value: str, ps: tuple[int, ...] =
 
 def against_targets(measured: DataFrame, targets: DataFrame, key: str, ps: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
     """Measured percentiles beside their targets; groups without a target are left out."""
-    joined = measured.join(F.broadcast(targets), key)  # a fixed table of a few rows
+    joined = measured.join(targets, key)
     return joined.select(key, *(c for p in ps for c in (f"p{p}", f"target_p{p}")), *(F.when(F.col(f"p{p}") <= F.col(f"target_p{p}"), "PASS").otherwise("MISS").alias(f"verdict_p{p}") for p in ps))
 
 
@@ -48,14 +48,19 @@ def top_reasons(runs: DataFrame, by: str, reason: str = "error_message", most: i
 
 
 def bench_summary(runs: DataFrame, *, ok: str = "ok", ms: str = "latency_ms", sets: tuple[str, ...] = ("tier", "status")) -> DataFrame:
-    """Runs and pass per cent overall, by the first and by the second column, in one pass."""
+    """Runs, pass per cent, mean and maximum overall, by the first and by the second
+    column, with the nearest-rank median and 95th percentile of the runs that passed."""
     a, b = sets
     grouped = runs.groupingSets([[], [a], [b]], a, b).agg(
         F.count("*").alias("runs"), F.count_if(ok).alias("passed"), F.round(F.avg(ms), 4).alias("mean_ms"), F.max(ms).alias("max_ms"),
         F.grouping_id().alias("g"),
     )
     name = F.when(F.col("g") == 3, "all").when(F.col("g") == 1, F.concat(F.lit(f"{a}="), F.col(a).cast("string"))).otherwise(F.concat(F.lit(f"{b}="), F.col(b).cast("string")))
-    return grouped.select(name.alias("slice"), "runs", "passed", whole_percent(F.col("passed"), F.col("runs")).alias("pass_pct"), "mean_ms", "max_ms")
+    text = lambda c: F.concat(F.lit(f"{c}="), F.col(c).cast("string"))
+    slices = runs.where(ok).groupBy(a, b, ms).agg(F.count("*").alias("_runs")).select(F.explode(F.array(F.lit("all"), text(a), text(b))).alias("slice"), ms, "_runs")
+    ranks = percentiles(slices, ["slice"], ms, (50, 95), times="_runs").select("slice", F.col("p50").alias("median_ms"), F.col("p95").alias("p95_ms"))
+    out = grouped.select(name.alias("slice"), "runs", "passed", whole_percent(F.col("passed"), F.col("runs")).alias("pass_pct"), "mean_ms", "max_ms")
+    return out.join(ranks, "slice", "left")
 
 
 def competitors(runs: DataFrame, by: str, price: str, *, ok: str = "ok", ms: str = "latency_ms") -> DataFrame:
@@ -67,8 +72,14 @@ def competitors(runs: DataFrame, by: str, price: str, *, ok: str = "ok", ms: str
 
 def load_summary(runs: DataFrame, *, ms: str = "latency_ms", ok: str = "ok", seconds: float = 60.0) -> DataFrame:
     """Interpolated percentiles, rate and failures of a whole run."""
-    pick = F.percentile(ms, F.array(*map(F.lit, (0.5, 0.9, 0.95, 0.99))))
-    a = runs.agg(F.count("*").alias("requests"), F.avg(ms).alias("avg"), pick.alias("p"), F.max(ms).alias("max_ms"), F.count_if(~F.col(ok)).alias("failed"))
+    # a row a value, so that what meets in the last task doesn't grow with the log
+    counted = runs.groupBy(ms).agg(F.count("*").alias("_n"), F.count_if(~F.col(ok)).alias("_failed"))
+    pick = F.percentile(ms, F.array(*map(F.lit, (0.5, 0.9, 0.95, 0.99))), F.col("_n"))
+    known = F.sum(F.when(F.col(ms).isNotNull(), F.col("_n")))
+    a = counted.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("requests"), (F.sum(F.col(ms) * F.col("_n")) / known).alias("avg"), pick.alias("p"), F.max(ms).alias("max_ms"),
+        F.coalesce(F.sum("_failed"), F.lit(0)).alias("failed"),
+    )
     return a.select(
         "requests", F.round(F.col("requests") / seconds, 4).alias("per_second"), F.round("avg", 4).alias("avg_ms"),
         *(F.round(F.col("p")[i], 4).alias(n) for i, n in enumerate(("p50_ms", "p90_ms", "p95_ms", "p99_ms"))), "max_ms",

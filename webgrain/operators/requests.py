@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import hmac
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,11 +92,18 @@ def latest_result(results: DataFrame, key: str = "job_id", ts: str = "ts", ttl:
     return out.where(F.col(ts) + F.expr(f"INTERVAL {ttl}") > F.lit(now).cast("timestamp")) if now else out
 
 
-def sign(payload: str = "payload", secret: str = "secret"):
-    """``sha256=`` and the hex HMAC of each payload, nulls giving null."""
-    @F.pandas_udf("string")
-    def signed(body: pd.Series, key: pd.Series) -> pd.Series:
-        one = lambda b, k: None if b is None or k is None else "sha256=" + hmac.new(k.encode(), b.encode(), hashlib.sha256).hexdigest()
-        return pd.Series([one(b, k) for b, k in zip(body, key)], dtype="object")
+def sign(payload: str = "payload", secret: str = "secret") -> Column:
+    """``sha256=`` and the hex HMAC of each payload, nulls giving null: two nested hashes
+    over the key, filled up to a block of 64 bytes, with each byte's bits turned."""
+    key = F.encode(F.col(secret), "UTF-8")
+    block = F.rpad(F.hex(F.when(F.octet_length(key) > 64, F.unhex(F.sha2(key, 256))).otherwise(key)), 128, "0")
+    digits = "0123456789ABCDEF"
+    turned = {pad: "".join(f"{d ^ pad:X}" for d in range(16)) for pad in (3, 6, 5, 12)}
+
+    def padded(high: int, low: int) -> Column:  # the first digit of a byte and its second one
+        pairs = F.sequence(F.lit(1), F.lit(127), F.lit(2))
+        cells = F.transform(pairs, lambda i: F.concat(F.translate(block.substr(i, F.lit(1)), digits, turned[high]), F.translate(block.substr(i + 1, F.lit(1)), digits, turned[low])))
+        return F.unhex(F.array_join(cells, ""))
 
-    return signed(F.col(payload), F.col(secret))
+    inner = F.unhex(F.sha2(F.concat(padded(3, 6), F.encode(F.col(payload), "UTF-8")), 256))
+    return F.when(key.isNotNull(), F.concat(F.lit("sha256="), F.sha2(F.concat(padded(5, 12), inner), 256)))

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.urls import in_domains
 
 # Hosts whose pages need scripts, and hosts that only a full browser gets.
-JS_HEAVY = tuple(f"{d}.com" for d in ("msn", "bing", "amazon", "reuters", "medium", "instagram", "linkedin", "facebook", "tiktok", "twitter", "x"))
+JS_HEAVY = (
+    "msn.com", "bing.com", "amazon.com", "reuters.com", "medium.com", "instagram.com", "linkedin.com", "facebook.com", "tiktok.com",
+    "twitter.com", "x.com",
+)
 HARD = ("nowsecure.nl", "walmart.com", "google.com")
 TRUST_RATE, TRUST_SAMPLES = 0.5, 3
 STATE_GAP = "24 hours"
@@ -148,9 +151,27 @@ def pick_proxy(ranked: DataFrame, *, by: str, provider: str, score: str) -> Data
     return top.join(n, by).where(F.col("rank") == chosen).select(by, provider, score, "rank")
 
 
-def proxy_session_id(provider: str, order: list[str]) -> Column:
-    """A round-robin counter of each provider, in base 36."""
-    return F.lower(F.conv(F.row_number().over(Window.partitionBy(provider).orderBy(*order)).cast("string"), 10, 36))
+def proxy_sessions(log: DataFrame, provider: str, order: list[str], parts: int | None = None) -> DataFrame:
+    """log with ``session``: a round-robin counter of each provider, in base 36.
+
+    The log is dealt to ranges of the order, each is numbered by itself, and the counts
+    of the ranges before are added, so a provider's rows needn't meet in one task.  The
+    order must be a whole one.
+    """
+    spark = log.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    first = order[0]
+    bounds = log.agg(F.percentile_approx(F.unix_micros(first), [k / parts for k in range(1, parts)], 10_000).alias("b")).first()["b"] if parts > 1 else None
+    part = F.lit(0)
+    for b in sorted(set(bounds or [])):
+        part = part + (F.unix_micros(first) > b).cast("int")
+    dealt = log.withColumn("_part", part)
+    counts = dealt.groupBy(provider, "_part").agg(F.count("*").alias("_n"))  # a row a provider and range
+    before = Window.partitionBy(provider).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(provider, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = dealt.withColumn("_own", F.row_number().over(Window.partitionBy(provider, "_part").orderBy(*order)))
+    n = (F.col("_before") + F.col("_own")).cast("string")
+    return numbered.join(offsets, [provider, "_part"]).withColumn("session", F.lower(F.conv(n, 10, 36))).drop("_part", "_own", "_before")
 
 
 PROXY_ORDER = ("none", "datacenter", "residential", "mobile")

@@ -19,6 +19,12 @@ def whole_mean(x: str) -> Column:
     return F.coalesce(F.round(F.avg(x)).cast("int"), F.lit(0))
 
 
+def hundredths_mean(x: str) -> Column:
+    """The mean of numbers of two places, rounded half up to two places in whole numbers; 0 without any."""
+    total, n = F.sum(F.round(F.col(x) * 100).cast("long")), F.count(x)
+    return F.coalesce(F.floor(F.try_divide(2 * total + n, 2 * n)), F.lit(0)).cast("double") / 100
+
+
 def log_filter(log: DataFrame, user_id, *, status: str | None = None, domain: str | None = None, tier: int | None = None, tier_from: int | None = None) -> DataFrame:
     """Rows of a user that fit all given conditions; domain is a part of the name, in
     any case, where ``%`` and ``_`` are wildcards."""
@@ -72,7 +78,7 @@ def usage_by(log: DataFrame, *keys: Column | str) -> DataFrame:
         F.count_if(tier == 1).alias("tier1_requests"), F.count_if(tier == 2).alias("tier2_requests"),
         F.count_if(tier == 3).alias("tier3_requests"), F.count_if(tier >= 4).alias("tier4_requests"),
         F.coalesce(F.sum("total_cost"), F.lit(0)).cast("double").alias("total_cost"), whole_mean("latency_ms").alias("avg_latency_ms"),
-        F.round(F.avg("quality_score"), 2).cast("double").alias("avg_quality_score"),
+        hundredths_mean("quality_score").alias("avg_quality_score"),
     )
 
 

@@ -171,7 +171,7 @@ def proxy_scores(spark, sf_dir):
     whole = routing.proxy_stats(log, now=NOW, by=["proxy_tier"])
     own = routing.proxy_stats(log, now=NOW, by=["proxy_tier", "domain"]).select("proxy_tier", "domain", F.col("successes").alias("s"), F.col("failures").alias("f"))
     base = routing.proxy_base_score(F.col("successes"), F.col("failures"), F.col("avg_latency"), F.col("hours"))
-    scored = own.join(F.broadcast(whole), "proxy_tier")  # a row for each kind of proxy
+    scored = own.join(whole, "proxy_tier")
     return scored.select(
         "proxy_tier", "domain", "avg_latency", F.round(base, 6).alias("base_score"), F.round(routing.proxy_domain_score(base, F.col("s"), F.col("f")), 6).alias("score"),
         routing.should_demote(F.col("s"), F.col("f")).alias("demote"), routing.should_promote(F.col("s"), F.col("f")).alias("promote"),
@@ -184,7 +184,7 @@ def proxy_rank(spark, sf_dir):
 
 def proxy_sessions(spark, sf_dir):
     log = request_log(spark, sf_dir).select("id", "proxy_tier", "created_at")
-    return log.select("id", routing.proxy_session_id("proxy_tier", ["created_at", "id"]).alias("session"))
+    return routing.proxy_sessions(log, "proxy_tier", ["created_at", "id"]).select("id", "session")
 
 
 def proxy_escalation(spark, sf_dir):
@@ -271,17 +271,8 @@ def histogram_quantile(spark, sf_dir):
     return metrics.histogram_quantile(b, 0.5, "event_type")
 
 
-def _rate_5m(log):
-    return metrics.rate(log, every="1 minute", labels=("status",)).select(_time("at").alias("at"), "status", "n", "per_second")
-
-
 def rate_5m(spark, sf_dir):
-    """The day that the SQL compares; rate_5m_all has the whole log."""
-    return _rate_5m(request_log(spark, sf_dir).where(F.to_date("created_at") == "2024-01-10"))
-
-
-def rate_5m_all(spark, sf_dir):
-    return _rate_5m(request_log(spark, sf_dir))
+    return metrics.rate(request_log(spark, sf_dir), every="1 minute", labels=("status",)).select(_time("at").alias("at"), "status", "n", "per_second")
 
 
 def counter_increase(spark, sf_dir):
@@ -324,14 +315,14 @@ QUERIES = {
         auth_lookup, revoked_anti, account_summary, key_rotation, plan_update, user_upsert, rate_limit, webhook_outcomes, queue_order, cache_rows,
         cache_lookup, latest_results, domain_strategy, strategy_before, route_decision, proxy_scores, proxy_rank, proxy_sessions, proxy_escalation, proxy_tier_asof, spec_quality, replayed_events,
         latency_percentiles, percentile_targets, success_matrix, top_reasons, bench_summary, competitors, load_summary, throttle_gaps, request_counter,
-        duration_histogram, cost_histogram, histogram_quantile, rate_5m, rate_5m_all, counter_increase, success_ratio, alerts, metrics_text, pool_stats, fetch_costs,
+        duration_histogram, cost_histogram, histogram_quantile, rate_5m, counter_increase, success_ratio, alerts, metrics_text, pool_stats, fetch_costs,
     )
 }
 
 _USAGE = """count(*) AS total_requests, count(*) FILTER (WHERE status = 'completed') AS successful_requests, count(*) FILTER (WHERE status = 'failed') AS failed_requests,
   count(*) FILTER (WHERE cached) AS cached_requests, count(*) FILTER (WHERE tier_used = 1) AS tier1_requests, count(*) FILTER (WHERE tier_used = 2) AS tier2_requests,
   count(*) FILTER (WHERE tier_used = 3) AS tier3_requests, count(*) FILTER (WHERE tier_used >= 4) AS tier4_requests, CAST(coalesce(sum(total_cost), 0) AS DOUBLE) AS total_cost,
-  coalesce(CAST(round(avg(latency_ms)) AS INT), 0) AS avg_latency_ms, CAST(round(avg(quality_score), 2) AS DOUBLE) AS avg_quality_score"""
+  coalesce(CAST(round(avg(latency_ms)) AS INT), 0) AS avg_latency_ms, coalesce(CAST(2 * sum(CAST(quality_score * 100 AS BIGINT)) + count(quality_score) AS BIGINT) // (2 * count(quality_score)), 0) / 100.0::DOUBLE AS avg_quality_score"""
 _DATE = "CAST(CAST(created_at AS DATE) AS VARCHAR)"
 _CALLS = """calls AS (
   SELECT event_id, CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 'sf_live_none' ELSE 'sf_live_' || user_id END AS key FROM events)"""
@@ -416,7 +407,7 @@ UNION ALL SELECT -id, user_id, sha256('rotated:' || id), name || ' (rotated)', t
     "user_upsert": sql_with("users") + "SELECT id, email, CASE WHEN id % 5 = 0 THEN 'new ' || name ELSE name END AS name, plan, CAST(CASE WHEN id % 5 = 0 THEN 2 ELSE 1 END AS INT) AS version FROM users",
     "rate_limit": """SELECT event_id, key, calls, CAST(CASE WHEN calls > 1 THEN 429 ELSE 200 END AS INT) AS code, greatest(0, 1 - calls) AS remaining, CAST(ceil((ms + 60000) / 1000) AS BIGINT) AS reset FROM (
   SELECT event_id, key, ms, count(*) OVER (PARTITION BY key ORDER BY ms RANGE BETWEEN 59999 PRECEDING AND CURRENT ROW) AS calls
-  FROM (SELECT event_id, 'k' || (user_id % 3) AS key, epoch_ms(ts) AS ms FROM events))""",
+  FROM (SELECT event_id, 'k' || (user_id % 3) AS key, epoch_us(ts) // 1000 AS ms FROM events))""",
     "webhook_outcomes": _RL + """SELECT id, CASE WHEN status BETWEEN 200 AND 299 THEN 'delivered' WHEN status BETWEEN 400 AND 499 AND status <> 429 THEN 'stop' WHEN attempt >= 3 THEN 'gave up' ELSE 'retry' END AS outcome,
   CAST(1000 * power(2, attempt - 1) AS BIGINT) AS wait_ms, CASE WHEN status IN (413, 429) OR status >= 500 THEN 'next' ELSE 'stop' END AS model, coalesce(contains(error_message, 'ERR_NAME_NOT_RESOLVED'), false) AS permanent
 FROM (SELECT id, CASE WHEN id % 17 = 0 THEN NULL ELSE [200, 404, 429, 503, 204][id % 5 + 1] END AS status, id % 3 + 1 AS attempt, error_message FROM request_log)""",
@@ -436,6 +427,8 @@ FROM (SELECT id, CASE WHEN id % 17 = 0 THEN NULL ELSE [200, 404, 429, 503, 204][
     "proxy_rank": sql_with("request_log", more=_PROXIES) + """SELECT domain, proxy_tier, score, CAST(rank AS INT) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY domain ORDER BY score DESC, proxy_tier) AS rank, least(3, count(*) OVER (PARTITION BY domain)) AS n FROM proxies WHERE proxy_tier <> 'none')
 WHERE rank = CASE WHEN n <= 2 THEN 1 ELSE CAST('0x' || md5(domain)[1:4] AS INT) % 3 + 1 END""",
+    "proxy_sessions": _RL + """SELECT id, ltrim(concat(CASE WHEN n >= 1679616 THEN d[n // 1679616 % 36 + 1] ELSE '' END, d[n // 46656 % 36 + 1], d[n // 1296 % 36 + 1], d[n // 36 % 36 + 1], d[n % 36 + 1]), '0') AS session FROM (
+  SELECT id, '0123456789abcdefghijklmnopqrstuvwxyz' AS d, row_number() OVER (PARTITION BY proxy_tier ORDER BY created_at, id) AS n FROM request_log)""",
     "proxy_escalation": _RL + """SELECT id, CASE WHEN id % 2 = 0 THEN CASE proxy_tier WHEN 'none' THEN 'datacenter' WHEN 'datacenter' THEN 'mobile' WHEN 'residential' THEN 'mobile' END
   ELSE CASE WHEN proxy_tier IN ('none', 'datacenter') THEN 'residential' END END AS next FROM request_log""",
     "proxy_tier_asof": _RL + """SELECT id AS seq, CASE WHEN last.at + INTERVAL 24 HOUR > created_at THEN last.kind ELSE 'datacenter' END AS prior_kind FROM (
@@ -453,7 +446,8 @@ FROM ({_pct("event_type")}) JOIN (VALUES ('error', 500, 2000, 5000), ('view', 90
     "top_reasons": _RL + """SELECT domain, reason, n, CAST(rank AS INT) AS rank FROM (SELECT domain, reason, n, row_number() OVER (PARTITION BY domain ORDER BY n DESC, reason) AS rank
   FROM (SELECT domain, split_part(error_message, ':', 1) AS reason, count(*) AS n FROM request_log WHERE error_message IS NOT NULL GROUP BY 1, 2)) WHERE rank <= 3""",
     "bench_summary": _RL + """SELECT CASE WHEN grouping(tier_used) = 0 THEN 'tier=' || tier_used WHEN grouping(status) = 0 THEN 'status=' || status ELSE 'all' END AS slice, count(*) AS runs, count(*) FILTER (WHERE quality_score >= 0.3) AS passed,
-  CAST(floor(count(*) FILTER (WHERE quality_score >= 0.3) * 100 / count(*) + 0.5) AS BIGINT) AS pass_pct, round(avg(latency_ms), 4) AS mean_ms, max(latency_ms) AS max_ms FROM request_log GROUP BY GROUPING SETS ((), (tier_used), (status))""",
+  CAST(floor(count(*) FILTER (WHERE quality_score >= 0.3) * 100 / count(*) + 0.5) AS BIGINT) AS pass_pct, round(avg(latency_ms), 4) AS mean_ms, max(latency_ms) AS max_ms,
+  list_sort(list(latency_ms) FILTER (WHERE quality_score >= 0.3))[CAST(least(passed - 1, floor(0.5 * passed)) AS INT) + 1] AS median_ms, list_sort(list(latency_ms) FILTER (WHERE quality_score >= 0.3))[CAST(least(passed - 1, floor(0.95 * passed)) AS INT) + 1] AS p95_ms FROM request_log GROUP BY GROUPING SETS ((), (tier_used), (status))""",
     "competitors": sql_with("request_log", more=f"p AS ({_pct("proxy_tier", "status = 'completed'", ((50, "median_ms"), (95, "p95_ms")))})")
     + """SELECT a.proxy_tier, attempted, succeeded, median_ms, p95_ms, round(unit * attempted / nullif(succeeded, 0), 8) AS cost_per_success FROM (
   SELECT proxy_tier, count(*) AS attempted, count(*) FILTER (WHERE status = 'completed') AS succeeded, CAST(max(total_cost) AS DOUBLE) AS unit FROM request_log GROUP BY 1) a LEFT JOIN p USING (proxy_tier)""",
@@ -467,7 +461,7 @@ FROM ({_pct("event_type")}) JOIN (VALUES ('error', 500, 2000, 5000), ('view', 90
     "histogram_quantile": sql_with("request_log", more=_buckets("latency_ms / 1000", metrics.DURATION_BUCKETS, "event_type")) + """SELECT event_type, round(CASE WHEN isinf(bound) THEN prev ELSE prev + (bound - prev) * (0.5 * n - below) / nullif(count - below, 0) END, 6) AS quantile
 FROM (SELECT *, coalesce(lag(bound) OVER w, 0) AS prev, coalesce(lag(count) OVER w, 0) AS below FROM buckets WINDOW w AS (PARTITION BY event_type ORDER BY bound)) WHERE count >= 0.5 * n QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY bound) = 1""",
     "rate_5m": _RL + f"""SELECT {_SQL_TIME.format('w + INTERVAL 5 MINUTE')} AS at, status, count(*) AS n, round(count(*) / 300, 6) AS per_second FROM (
-  SELECT status, unnest([date_trunc('minute', created_at) - to_minutes(k) for k in [0, 1, 2, 3, 4]]) AS w FROM request_log WHERE CAST(created_at AS DATE) = DATE '2024-01-10') GROUP BY w, status""",
+  SELECT status, unnest([date_trunc('minute', created_at) - to_minutes(k) for k in [0, 1, 2, 3, 4]]) AS w FROM request_log) GROUP BY w, status""",
     "counter_increase": _RL + """SELECT domain, CAST(sum(CASE WHEN prev IS NULL THEN 0 WHEN v < prev THEN v ELSE v - prev END) AS BIGINT) AS increase FROM (
   SELECT domain, id % 50 AS v, lag(id % 50) OVER (PARTITION BY domain ORDER BY created_at, id) AS prev FROM request_log) GROUP BY domain""",
     "success_ratio": _RL + f"SELECT {_SQL_TIME.format('h + INTERVAL 1 HOUR')} AS at, count(*) AS n, round(count(*) FILTER (WHERE status = 'completed') / count(*), 6) AS success_rate, round(count(*) FILTER (WHERE latency_ms > 10000) / count(*), 6) AS slow_share FROM (SELECT *, date_trunc('hour', created_at) AS h FROM request_log) GROUP BY h",

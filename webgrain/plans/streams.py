@@ -10,13 +10,16 @@ from ..sources.tables import DERIVED_SQL, table
 from ..streaming import streams as S
 
 _time = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-#: Three queries compare, as their SQL does, the windows that end before this time.
-CLOSED = "2024-01-29 00:00:00"
+#: In SQL: the stream's last watermark, by which windows are closed.
+_CLOSED = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events)"
 LOCAL_WORK_DIR = "file:///tmp/checkpoints/webgrain"
 
 
 def _work(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_WORK_DIR
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or LOCAL_WORK_DIR
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -35,60 +38,24 @@ def _run(spark, stream, mode="append"):
     return S.run_once(stream, f"{work}/out", f"{work}/state", mode)
 
 
-def _hourly(spark, sf_dir):
-    return _run(spark, S.tumbling_counts(_events(spark, sf_dir), "ts", "1 hour", "event_type"))
-
-
 def stream_hourly_usage(spark, sf_dir):
-    """The hours that the SQL compares; stream_hourly_usage_all has all."""
-    return _hourly(spark, sf_dir).where(F.col("start") + F.expr("INTERVAL 1 hour") < CLOSED).select(_time("start").alias("start"), "event_type", "n")
-
-
-def stream_hourly_usage_all(spark, sf_dir):
     """All hours that the stream emitted."""
-    return _hourly(spark, sf_dir).select(_time("start").alias("start"), "event_type", "n")
-
-
-def _daily(spark, sf_dir):
-    return _run(spark, S.tumbling_counts(_events(spark, sf_dir), "ts", "1 day"))
+    return _run(spark, S.tumbling_counts(_events(spark, sf_dir), "ts", "1 hour", "event_type")).select(_time("start").alias("start"), "event_type", "n")
 
 
 def stream_daily_usage(spark, sf_dir):
-    """The days that the SQL compares; stream_daily_usage_all has all."""
-    return _daily(spark, sf_dir).where(F.col("start") + F.expr("INTERVAL 1 day") < CLOSED).select(_time("start").alias("start"), "n")
-
-
-def stream_daily_usage_all(spark, sf_dir):
     """All days that the stream emitted."""
-    return _daily(spark, sf_dir).select(_time("start").alias("start"), "n")
-
-
-def _rate_5m(spark, sf_dir):
-    return _run(spark, S.sliding_rate(_events(spark, sf_dir), "ts", "5 minutes", "1 minute"))
+    return _run(spark, S.tumbling_counts(_events(spark, sf_dir), "ts", "1 day")).select(_time("start").alias("start"), "n")
 
 
 def stream_rate_5m(spark, sf_dir):
-    """The windows that the SQL compares; stream_rate_5m_all has all."""
-    return _rate_5m(spark, sf_dir).where(F.col("at") < "2024-01-05 00:00:00").select(_time("at").alias("at"), "n")
-
-
-def stream_rate_5m_all(spark, sf_dir):
     """All windows that the stream emitted."""
-    return _rate_5m(spark, sf_dir).select(_time("at").alias("at"), "n")
-
-
-def _sessions(spark, sf_dir):
-    return _run(spark, S.sessions(_events(spark, sf_dir), "ts", "6 hours", "user_id"))
+    return _run(spark, S.sliding_rate(_events(spark, sf_dir), "ts", "5 minutes", "1 minute")).select(_time("at").alias("at"), "n")
 
 
 def stream_sessions(spark, sf_dir):
-    """The sessions that the SQL compares; stream_sessions_all has all."""
-    return _sessions(spark, sf_dir).where(F.col("end") < CLOSED).select("user_id", _time("start").alias("start"), _time("end").alias("end"), "n")
-
-
-def stream_sessions_all(spark, sf_dir):
     """All sessions that the stream emitted."""
-    return _sessions(spark, sf_dir).select("user_id", _time("start").alias("start"), _time("end").alias("end"), "n")
+    return _run(spark, S.sessions(_events(spark, sf_dir), "ts", "6 hours", "user_id")).select("user_id", _time("start").alias("start"), _time("end").alias("end"), "n")
 
 
 def stream_dedupe(spark, sf_dir):
@@ -133,22 +100,21 @@ def stream_jobs(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        stream_rate_limit, stream_jobs, stream_hourly_usage, stream_hourly_usage_all, stream_daily_usage, stream_daily_usage_all, stream_rate_5m, stream_rate_5m_all,
-        stream_sessions, stream_sessions_all, stream_dedupe, stream_strategy, stream_progress,
+        stream_rate_limit, stream_jobs, stream_hourly_usage, stream_daily_usage, stream_rate_5m, stream_sessions, stream_dedupe, stream_strategy, stream_progress,
     )
 }
 _AT = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 SQL = {
     "stream_rate_limit": """SELECT id, key, calls, CAST(CASE WHEN calls > 1 THEN 429 ELSE 200 END AS INT) AS code FROM (
   SELECT event_id AS id, key, count(*) OVER (PARTITION BY key ORDER BY ms RANGE BETWEEN 59999 PRECEDING AND CURRENT ROW) AS calls
-  FROM (SELECT event_id, 'k' || (user_id % 3) AS key, epoch_ms(ts) AS ms FROM events))""",
-    "stream_hourly_usage": f"SELECT {_AT.format('h')} AS start, event_type, count(*) AS n FROM (SELECT *, date_trunc('hour', ts) AS h FROM events) WHERE h + INTERVAL 1 HOUR < TIMESTAMP '{CLOSED}' GROUP BY h, event_type",
-    "stream_daily_usage": f"SELECT {_AT.format('h')} AS start, count(*) AS n FROM (SELECT *, date_trunc('day', ts) AS h FROM events) WHERE h + INTERVAL 1 DAY < TIMESTAMP '{CLOSED}' GROUP BY h",
+  FROM (SELECT event_id, 'k' || (user_id % 3) AS key, epoch_us(ts) // 1000 AS ms FROM events))""",
+    "stream_hourly_usage": f"SELECT {_AT.format('h')} AS start, event_type, count(*) AS n FROM (SELECT *, date_trunc('hour', ts) AS h FROM events) WHERE h + INTERVAL 1 HOUR <= {_CLOSED} GROUP BY h, event_type",
+    "stream_daily_usage": f"SELECT {_AT.format('h')} AS start, count(*) AS n FROM (SELECT *, date_trunc('day', ts) AS h FROM events) WHERE h + INTERVAL 1 DAY <= {_CLOSED} GROUP BY h",
     "stream_rate_5m": f"""SELECT {_AT.format('w + INTERVAL 5 MINUTE')} AS at, count(*) AS n FROM (
-  SELECT unnest([date_trunc('minute', ts) - to_minutes(k) for k in [0, 1, 2, 3, 4]]) AS w FROM events) WHERE w + INTERVAL 5 MINUTE < TIMESTAMP '2024-01-05 00:00:00' GROUP BY w""",
+  SELECT unnest([date_trunc('minute', ts) - to_minutes(k) for k in [0, 1, 2, 3, 4]]) AS w FROM events) WHERE w + INTERVAL 5 MINUTE <= {_CLOSED} GROUP BY w""",
     "stream_sessions": f"""SELECT user_id, {_AT.format('min(ts)')} AS start, {_AT.format('max(ts) + INTERVAL 6 HOUR')} AS "end", count(*) AS n FROM (
   SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (
-    SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS brk FROM events)) GROUP BY user_id, s HAVING max(ts) + INTERVAL 6 HOUR < TIMESTAMP '{CLOSED}'""",
+    SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS brk FROM events)) GROUP BY user_id, s HAVING max(ts) + INTERVAL 6 HOUR <= {_CLOSED}""",
     "stream_dedupe": "SELECT event_id FROM events",
     "stream_strategy": f"""WITH {DERIVED_SQL['request_log']}, sess AS (
   SELECT *, sum(brk) OVER (PARTITION BY domain ORDER BY created_at, id ROWS UNBOUNDED PRECEDING) AS session FROM (
