@@ -70,7 +70,7 @@ def held(ticks: DataFrame, *, by: list[str], ts: str, firing: str, hold: str) ->
 
 
 def success_ticks(log: DataFrame, *, window: str = "1 hour", by: tuple[str, ...] = ()) -> DataFrame:
-    """Success rate and 95th percentile latency at each end of tumbling windows."""
+    """Success rate and the share of requests above ten seconds at each end of tumbling windows."""
     return log.groupBy(F.window("created_at", window).alias("w"), *by).agg(
         F.count("*").alias("n"), F.count_if(F.col("status") == "completed").alias("ok"), F.count_if(F.col("latency_ms") > 10000).alias("slow")
     ).select(F.col("w.end").alias("at"), *by, "n", (F.col("ok") / F.col("n")).alias("success_rate"), (F.col("slow") / F.col("n")).alias("slow_share"))
