@@ -194,3 +194,23 @@ def test_sessions_are_numbered_over_ranges(spark):
         got = {r.id: int(r.session, 36) for r in proxy_sessions(log, "kind", ["at", "id"], parts).collect()}
         assert got == {i: n for kind in "ab" for n, (_, i) in enumerate(sorted((at, i) for k, at, i in rows if k == kind), 1)}
     assert proxy_sessions(log.limit(0), "kind", ["at", "id"]).count() == 0
+
+
+def test_rounded_means_need_only_a_sessions_first_steps(spark):
+    import datetime as dt
+    import random
+
+    rng, at, rows = random.Random(5), dt.datetime(2024, 1, 1), []
+    for host, low, high, n in (("narrow", 100, 112, 900), ("flat", 7, 7, 50), ("wide", 0, 4000, 300), ("below", -30, 3, 400), ("one", 9, 9, 1)):
+        rows += [(host, at + dt.timedelta(minutes=i), rng.randint(low, high), i, 1, True) for i in range(n)]
+    rows += [("blank", at + dt.timedelta(minutes=i), None if i == 40 else 3, i, 1, True) for i in range(60)]
+    df = spark.createDataFrame(rows, "domain string, created_at timestamp, latency_ms int, seq long, tier_used int, ok boolean")
+    want = {}
+    for host, _, x, n, *_ in rows:
+        mean = want.get(host, 0)
+        want[host] = None if x is None or mean is None else (2 * (mean * n + x) + n + 1) // (2 * (n + 1))
+    assert {r.domain: r.avg_latency_ms for r in routing.domain_strategy(df).collect()} == want
+    stats = routing.proxy_stats(df, now="2024-01-02 00:00:00", by=["domain"]).collect()
+    assert {r.domain: r.avg_latency for r in stats} == want
+    kept = routing.last_session(df, ["domain"], ts="created_at", seq="seq", latency="latency_ms", gap="24 hours").where("_step IS NOT NULL").groupBy("domain").count()
+    assert {r["domain"]: r["count"] for r in kept.collect()} == {"narrow": 26, "flat": 2, "wide": 300, "below": 68, "one": 1}

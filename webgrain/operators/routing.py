@@ -69,19 +69,38 @@ def running_latency(latencies: Column) -> Column:
     return F.aggregate(latencies, start, step)["mean"]
 
 
+def last_session(log: DataFrame, by: list[str], *, ts: str, seq: str, latency: str, gap: str) -> DataFrame:
+    """The rows of each key's last session, with ``_step`` where they can move its mean.
+
+    The rounded mean of n latencies that span r stays where it is once n + 1 is more than
+    twice r + 1: the next latency moves it by less than a half.  So a session's fold needs
+    its first 2 (r + 1) steps and no later one, however long the session is; ``_step`` is
+    null for those.  A latency that is null makes the mean null.
+    """
+    s = sessions(log.withColumn("seq", F.col(seq)), by, ts, gap)
+    x = F.col(latency).cast("double")
+    of_each = s.groupBy(*by, "session").agg((F.max(x) - F.min(x)).alias("range"), F.count_if(x.isNull()).alias("blank"))
+    last = of_each.groupBy(*by).agg(F.max_by(F.struct("session", "range", "blank"), F.col("session")).alias("l")).select(*by, F.col("l.session").alias("session"), F.col("l.range").alias("_range"), F.col("l.blank").alias("_blank"))
+    n = F.row_number().over(Window.partitionBy(*by).orderBy(ts, "seq"))
+    rows = s.join(last, [*by, "session"]).withColumn("_n", n)
+    counts = (F.col("_blank") == 0) & (F.col("_n") <= 2 * (F.col("_range") + 1))
+    return rows.withColumn("_step", F.when(counts, F.struct(F.col("_n"), x.alias("latency"))))
+
+
+def mean_of_steps() -> Column:
+    """The stepwise rounded mean of a group of ``last_session``'s rows; null if a latency is."""
+    return F.when(F.max("_blank") == 0, running_latency(F.sort_array(F.collect_list("_step"))["latency"]))
+
+
 def domain_strategy(log: DataFrame, *, host: str = "domain", ts: str = "created_at", tier: str = "tier_used", latency: str = "latency_ms", ok: str = "ok", seq: str = "seq") -> DataFrame:
     """The state of each host after its last session of fetches."""
-    s = sessions(log.withColumn("seq", F.col(seq)), [host], ts, STATE_GAP)
-    last = s.groupBy(host).agg(F.max("session").alias("session"))
-    rows = s.join(last, [host, "session"]).groupBy(host).agg(
-        F.count("*").alias("sample_size"), F.count_if(ok).alias("successes"),
-        F.sort_array(F.collect_list(F.struct(ts, "seq", F.col(latency).cast("double").alias("latency")))).alias("steps"),
+    rows = last_session(log, [host], ts=ts, seq=seq, latency=latency, gap=STATE_GAP).groupBy(host).agg(
+        F.count("*").alias("sample_size"), F.count_if(ok).alias("successes"), mean_of_steps().cast("int").alias("avg_latency_ms"),
         F.max_by(F.struct(tier, ok), F.struct(ts, "seq")).alias("last"), F.max(ts).alias("last_updated"),
     )
     return rows.select(
-        host, next_tier(F.col(f"last.{tier}"), F.col(f"last.{ok}")).alias("tier"), "sample_size", (F.col("successes") / F.col("sample_size")).alias("success_rate"),
-        running_latency(F.col("steps.latency")).cast("int").alias("avg_latency_ms"), "last_updated",
-    )
+        host, next_tier(F.col(f"last.{tier}"), F.col(f"last.{ok}")).alias("tier"), "sample_size", (F.col("successes") / F.col("sample_size")).alias("success_rate"), "avg_latency_ms", "last_updated"
+    )
 
 
 def strategy_before(log: DataFrame, *, host: str = "domain", ts: str = "created_at", seq: str = "seq", tier: str = "tier_used", ok: str = "ok") -> DataFrame:
@@ -123,11 +142,8 @@ def should_promote(successes: Column, failures: Column) -> Column:
 
 def proxy_stats(log: DataFrame, *, now: str, by: list[str], ts: str = "created_at", ok: str = "ok", latency: str = "latency_ms", seq: str = "seq") -> DataFrame:
     """Counts, stepwise rounded latency and hours since the last use, of the last session."""
-    s = sessions(log.withColumn("seq", F.col(seq)), by, ts, PROXY_GAP)
-    last = s.groupBy(*by).agg(F.max("session").alias("session"))
-    return s.join(last, [*by, "session"]).groupBy(*by).agg(
-        F.count_if(ok).alias("successes"), F.count_if(~F.col(ok)).alias("failures"),
-        running_latency(F.sort_array(F.collect_list(F.struct(ts, "seq", F.col(latency).cast("double").alias("latency"))))["latency"]).alias("avg_latency"),
+    return last_session(log, by, ts=ts, seq=seq, latency=latency, gap=PROXY_GAP).groupBy(*by).agg(
+        F.count_if(ok).alias("successes"), F.count_if(~F.col(ok)).alias("failures"), mean_of_steps().alias("avg_latency"),
         ((F.unix_timestamp(F.lit(now)) - F.unix_timestamp(F.max(ts))) / 3600).alias("hours"),
     )
 

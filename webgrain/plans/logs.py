@@ -141,7 +141,7 @@ def _steps(spark, sf_dir):
 
 
 def _fetches(spark, sf_dir):
-    """The log of one user in ten: with so few fetches, states do expire."""
+    """The log with a site of its own for each user: with so few fetches, states do expire."""
     host = F.element_at(F.array(*map(F.lit, ("www.amazon.com", "walmart.com", "m.facebook.com", "a.example.com", "b.example.com"))), (F.col("user_id") % 5 + 1).cast("int"))
     return request_log(spark, sf_dir).select(
         F.concat(host, F.lit("/"), F.col("user_id").cast("string")).alias("site"), host.alias("host"), "created_at", "tier_used", "latency_ms",
