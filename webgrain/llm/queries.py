@@ -7,7 +7,7 @@ from .decontaminate import OP7_SQL, op7_decontamination
 from .language import op8_language
 from .licenses import op9_licenses
 from .lm_score import op5_lm_score
-from .minhash_dedup import op2_minhash_dedup
+from .minhash_dedup import OP2_SQL, op2_minhash_dedup
 from .packing import op6_packing
 from .quality import op4_quality
 from .url_filter import OP3_SQL, op3_url_filter
@@ -27,6 +27,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_lattice_dedup": OP1_SQL,
+    "op2_minhash_dedup": OP2_SQL,
     "op3_url_filter": OP3_SQL,
     "op7_decontamination": OP7_SQL,
     "op10_warc": OP10_SQL,
