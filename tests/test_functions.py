@@ -214,3 +214,32 @@ def test_rounded_means_need_only_a_sessions_first_steps(spark):
     assert {r.domain: r.avg_latency for r in stats} == want
     kept = routing.last_session(df, ["domain"], ts="created_at", seq="seq", latency="latency_ms", gap="24 hours").where("_step IS NOT NULL").groupBy("domain").count()
     assert {r["domain"]: r["count"] for r in kept.collect()} == {"narrow": 26, "flat": 2, "wide": 300, "below": 68, "one": 1}
+
+
+def test_metric_pages_come_back_as_they_were(spark):
+    odd = ['plain', 'say "no"', "a\\nb", "a\nb", "back\\", '\\"', "", "a,b=\"c\"", "ü}"]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(odd)], "why string, value long")
+    lines = metrics.exposition(df, "errors_total", "why")
+    assert all("\n" not in r.line for r in lines.collect())
+    back = metrics.scraped(lines.withColumnRenamed("line", "value"), "why")
+    assert sorted(map(tuple, back.collect())) == sorted(("errors_total", v, float(i)) for i, v in enumerate(odd))
+    others = ["# HELP errors_total of all", "up 1", 'up{job="a",why="x"} 2.5 1700000000', "broken{", "bad{} word", ""]
+    got = metrics.scraped(spark.createDataFrame([(v,) for v in others], "value string"), "why").collect()
+    assert list(map(tuple, got)) == [("up", "", 1.0), ("up", "x", 2.5), ("bad", "", None)]
+
+
+def test_alerts_see_minutes_without_requests(spark):
+    rows = [("2024-01-01 00:00:10", "completed", 12000), ("2024-01-01 00:00:50", "failed", 20000), ("2024-01-01 00:30:00", "completed", 100)]
+    log = spark.createDataFrame(rows, "created_at string, status string, latency_ms int").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    samples = metrics.health_samples(log)
+    at = {(str(r["at"])[11:16], r.metric): r.value for r in samples.collect()}
+    assert at["00:01", "requests"] == 2 and at["00:05", "success_rate"] == 0.5 and at["00:06", "requests"] == 0 and at["00:06", "p95_seconds"] is None
+    found = {r.alert: (str(r.since)[11:16], str(r.until)[11:16], r.ticks) for r in metrics.alerts(samples).collect()}
+    assert found == {"no_requests": ("00:06", "00:30", 25)}
+    assert metrics.health_samples(log.limit(0)).count() == 0
+
+
+def test_issued_keys_are_the_same_when_asked_again(spark):
+    asked = spark.createDataFrame([(1, "a", "sf_live_0123456789"), (2, None, "sf_live_9876543210")], "user_id long, name string, secret string")
+    one_, two = (sorted(map(tuple, usage.issue_keys(asked, "2024-01-01").collect()), key=repr) for _ in range(2))
+    assert one_ == two and len({r[0] for r in one_}) == 2 and not any("sf_live_0123456789" in str(v) for r in one_ for v in r)

@@ -107,6 +107,11 @@ def bearer_key(header: Column) -> Column:
     return F.when(key.startswith(KEY_PREFIX), key)
 
 
+# Beginnings of paths that need no key, and of those that no rate limit counts.
+KEYLESS_ROUTES = ("/health", "/metrics", "/docs", "/openapi.json", "/v1/scrape/stream")
+UNLIMITED_ROUTES = ("/health", "/metrics", "/docs", "/docs/json")
+
+
 def is_public_route(path: Column, prefixes: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for p in prefixes:

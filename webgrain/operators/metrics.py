@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Upper bounds of the histograms' buckets.
 DURATION_BUCKETS = (0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0)
 COST_BUCKETS = (0.00001, 0.0001, 0.001, 0.01, 0.1)
+API_BUCKETS = (0.01, 0.05, 0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 30.0)
 
 
 def counter(log: DataFrame, *labels: str) -> DataFrame:
@@ -76,6 +77,27 @@ def success_ticks(log: DataFrame, *, window: str = "1 hour", by: tuple[str, ...]
     ).select(F.col("w.end").alias("at"), *by, "n", (F.col("ok") / F.col("n")).alias("success_rate"), (F.col("slow") / F.col("n")).alias("slow_share"))
 
 
+def mean_duration(log: DataFrame, value: Column, *, ts: str = "created_at", window: str = "5 minutes", every: str = "1 minute", labels: tuple[str, ...] = ()) -> DataFrame:
+    """The ratio of the rates of a histogram's sum and its count at each end of a sliding window."""
+    w = log.withColumn("_value", value).groupBy(F.window(ts, window, every).alias("w"), *labels).agg(F.sum("_value").alias("total"), F.count("_value").alias("n"))
+    return w.select(F.col("w.end").alias("at"), *labels, F.try_divide("total", "n").alias("mean"))
+
+
+def health_samples(log: DataFrame, *, ts: str = "created_at", window: str = "5 minutes", every: str = "1 minute", bounds: tuple[float, ...] = API_BUCKETS) -> DataFrame:
+    """(at, metric, value) of the metrics that a request log can feed: requests, success_rate, p95_seconds.
+
+    There is a tick at each window's end from the first to the last, windows without
+    requests too: requests is 0 there and the others are null.
+    """
+    w = log.select(F.window(ts, window, every).alias("w"), "status", (F.col("latency_ms") / 1000).alias("s")).select(F.col("w.end").alias("at"), "status", "s")
+    counted = w.groupBy("at").agg(F.count("*").cast("double").alias("requests"), (F.count_if(F.col("status") == "completed") / F.count("*")).alias("success_rate"))
+    tail = histogram_quantile(histogram(w, F.col("s"), bounds, "at"), 0.95, "at").withColumnRenamed("quantile", "p95_seconds")
+    ends = counted.agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first IS NOT NULL")
+    ticks = ends.select(F.explode(F.sequence("first", "last", F.expr(f"INTERVAL {every}"))).alias("at"))
+    all_ticks = ticks.join(counted, "at", "left").join(tail, "at", "left").withColumn("requests", F.coalesce("requests", F.lit(0.0)))
+    return all_ticks.unpivot("at", ["requests", "success_rate", "p95_seconds"], "metric", "value")
+
+
 #: name, metric, how it is compared, limit, hold time, severity
 ALERT_RULES = (
     ("low_success_rate", "success_rate", "<", 0.90, "5 minutes", "warning"),
@@ -91,12 +113,27 @@ def alerts(samples: DataFrame, rules: tuple = ALERT_RULES) -> DataFrame:
     """(alert, severity, since, until, ticks) of all rules over (at, metric, value) samples."""
     out = None
     for name, metric, op, limit, hold, severity in rules:
-        own = samples.where(F.col("metric") == metric).withColumn("firing", F.expr(f"value {op} {limit!r}"))
+        own = samples.where(F.col("metric") == metric).withColumn("firing", F.coalesce(F.expr(f"value {op} {limit!r}"), F.lit(False)))
         found = held(own, by=["metric"], ts="at", firing="firing", hold=hold).select(F.lit(name).alias("alert"), F.lit(severity).alias("severity"), "since", "until", "ticks")
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def exposition(metrics: DataFrame, name: str, label: str, value: str = "value") -> DataFrame:
-    """Lines of the text format that metric scrapers read."""
-    return metrics.select(F.format_string(f'{name}{{{label}="%s"}} %s', F.col(label).cast("string"), F.col(value).cast("string")).alias("line"))
+    """Lines of the text format that metric scrapers read; a label's backslashes, quotes and line ends are escaped."""
+    safe = F.col(label).cast("string")
+    for raw, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+        safe = F.replace(safe, F.lit(raw), F.lit(escaped))
+    return metrics.select(F.format_string(f'{name}{{{label}="%s"}} %s', safe, F.col(value).cast("string")).alias("line"))
+
+
+def scraped(lines: DataFrame, label: str, line: str = "value") -> DataFrame:
+    """(metric, label, value) of lines in that format; comments and lines of another form are left out."""
+    form = r'^([A-Za-z_:][A-Za-z0-9_:]*)(?:\{(.*)\})? +(\S+)(?: +-?[0-9]+)?$'
+    part = lambda i: F.regexp_extract(line, form, i)
+    raw = F.regexp_extract(part(2), f'(?:^|,) *{label}="((?:[^"\\\\]|\\\\.)*)"', 1)
+    # escaped backslashes are set aside under a mark, so that they aren't read with what follows
+    mark = F.lit("\x00")
+    plain = F.replace(raw, F.lit("\\\\"), mark)
+    plain = F.replace(F.replace(plain, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n"))
+    return lines.where(F.col(line).rlike(form)).select(part(1).alias("metric"), F.replace(plain, mark, F.lit("\\")).alias(label), part(3).try_cast("double").alias("value"))

@@ -153,3 +153,17 @@ def rotate_keys(keys: DataFrame, which: Column, now: str) -> DataFrame:
     )
     old = keys.withColumn("revoked_at", F.when(hit, F.lit(now).cast("timestamp"))).withColumn("is_active", F.col("is_active") & ~hit)
     return old.unionByName(fresh)
+
+
+def issue_keys(asked: DataFrame, now: str, *, per_minute: int = 60) -> DataFrame:
+    """The key rows of (user_id, name, secret) requests, with the ids that they got.
+
+    The id is made of the secret's hash, so a request that is run again gives the same row.
+    """
+    from ..functions.urls import api_key_hash
+
+    of_secret = api_key_hash(F.col("secret"))
+    return asked.select(
+        F.substring(of_secret, 1, 32).alias("id"), "user_id", of_secret.alias("key_hash"), F.substring("secret", 1, 12).alias("key_prefix"), "name",
+        F.lit(True).alias("is_active"), F.lit(per_minute).alias("rate_limit_per_minute"), F.lit(now).cast("timestamp").alias("created_at"),
+    )

@@ -124,9 +124,9 @@ def sql_with(*names: str, more: str = "") -> str:
     return "WITH " + ",\n".join([DERIVED_SQL[n] for n in names] + ([more] if more else [])) + "\n"
 
 
-def gold_items(spark: SparkSession, path: str) -> DataFrame:
-    """(url, title, price, availability, rating) of a gold file."""
-    return spark.read.schema(GOLD_FILE).json(path, multiLine=True).select(F.explode("items").alias("i")).select("i.url", "i.expected.*")
+def gold_items(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """(url, title, price, availability, rating) of gold files: one object a file, or one a line."""
+    return spark.read.schema(GOLD_FILE).json(path, multiLine=not lines).select(F.explode("items").alias("i")).select("i.url", "i.expected.*")
 
 
 def load_summary(spark: SparkSession, path: str) -> DataFrame:
@@ -140,6 +140,7 @@ def requests(bodies: DataFrame, body: str = "body") -> DataFrame:
     return bodies.withColumn("request", F.from_json(body, SCRAPE_REQUEST))
 
 
-def read_any(spark: SparkSession, path: str, kind: str, **options) -> DataFrame:
-    """CSV, JSON, ORC, Parquet or text files."""
-    return spark.read.format(kind).options(**options).load(path)
+def read_any(spark: SparkSession, path: str, kind: str, schema=None, **options) -> DataFrame:
+    """CSV, JSON, ORC, Parquet or text files; without a schema the files' own, or a guess."""
+    reader = spark.read.format(kind).options(**options)
+    return (reader.schema(schema) if schema is not None else reader).load(path)

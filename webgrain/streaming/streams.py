@@ -25,6 +25,13 @@ def event_stream(spark: SparkSession, path: str, schema, ts: str = "ts", **optio
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, WATERMARK)
 
 
+def scrapes(spark: SparkSession, path: str, label: str) -> DataFrame:
+    """Metric pages that a scraper left in a folder, as a stream of (metric, label, value)."""
+    from ..operators.metrics import scraped
+
+    return scraped(spark.readStream.text(path), label)
+
+
 def tumbling_counts(events: DataFrame, ts: str, size: str, *keys: str) -> DataFrame:
     return events.groupBy(F.window(ts, size).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
 
