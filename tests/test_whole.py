@@ -100,3 +100,25 @@ def test_streams_are_read_when_they_have_ended():
     batches = Slow()
     S.run_batches(batches, lambda *a: None, "state")
     assert batches.ended
+
+
+def test_job_ledger_over_several_batches(spark, tmp_path):
+    """Retries, redeliveries and repeats whose messages come in micro-batches of their own."""
+    at = lambda seconds: dt.datetime(2025, 3, 9, 21) + dt.timedelta(seconds=seconds)
+    parts = [
+        [(1, at(0), "started", False), (2, at(0), "started", None), (3, at(0), "started", False), (4, at(1), "failed", True), (5, at(0), "started", False)],
+        [(1, at(1), "failed", None), (2, at(3), "completed", None), (2, at(4), "completed", None), (9, at(700), "started", False)],
+        [(1, at(120), "started", False), (1, at(121), "completed", False), (5, at(101), "started", False), (9, at(5000), "started", False)],
+        [(9, at(9000), "completed", False)],
+    ]
+    schema = "job_id long, ts timestamp, kind string, permanent boolean"
+    for n, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/part={n}")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/part=*").withWatermark("ts", "10 minutes")
+        out = S.run_once(S.job_ledger(stream), f"{tmp_path}/out", f"{tmp_path}/state")
+    start = int(at(0).replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+    got = sorted((r.job_id, r.action, r.number, (r.at_ms - start) // 1000) for r in out.collect())
+    stalled = lambda job, *since: [(job, "redeliver", 1, since[0]), (job, "redeliver", 2, since[0] + 15), (job, "dead", 3, since[0] + 30)]
+    want = [(1, "retry", 1, 2), *stalled(1, 17), (2, "done", 1, 3), *stalled(3, 15), (4, "dead", 1, 1), *stalled(5, 15)]
+    assert [g for g in got if g[0] != 9] == sorted(want)
+    assert [g[1] for g in got if g[0] == 9].count("redeliver") == 2

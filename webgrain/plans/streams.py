@@ -97,10 +97,25 @@ def stream_jobs(spark, sf_dir):
     return _run(spark, S.job_results(pages).select("page_id", "score", "valid", "status", "title"))
 
 
+def stream_ledger(spark, sf_dir):
+    """Jobs that complete, fail once, for good or three times, or stall, as a queue would handle them."""
+    i = F.col("event_id") % 5
+    said = lambda kind, seconds, permanent=False: F.struct(F.lit(seconds).alias("after"), F.lit(kind).alias("kind"), F.lit(permanent).alias("permanent"))
+    begun, failed = said("started", 0), said("failed", 1)
+    story = (
+        F.when(i == 0, F.array(begun)).when(i == 1, F.array(begun, said("completed", 2))).when(i == 2, F.array(begun, failed, said("completed", 4)))
+        .when(i == 3, F.array(begun, said("failed", 1, True), said("completed", 2))).otherwise(F.array(begun, failed, said("failed", 3), said("failed", 7)))
+    )
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(_files(sf_dir, "events"))
+    told = events.select(F.col("event_id").alias("job_id"), F.col("ts").cast("timestamp").alias("begun"), F.explode(story).alias("m"))
+    messages = told.select("job_id", (F.col("begun") + F.make_dt_interval(secs="m.after")).alias("ts"), "m.kind", "m.permanent")
+    return _run(spark, S.job_ledger(messages.withWatermark("ts", S.WATERMARK)))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        stream_rate_limit, stream_jobs, stream_hourly_usage, stream_daily_usage, stream_rate_5m, stream_sessions, stream_dedupe, stream_strategy, stream_progress,
+        stream_rate_limit, stream_jobs, stream_ledger, stream_hourly_usage, stream_daily_usage, stream_rate_5m, stream_sessions, stream_dedupe, stream_strategy, stream_progress,
     )
 }
 _AT = "strftime({}, '%Y-%m-%d %H:%M:%S')"
@@ -123,5 +138,10 @@ last AS (SELECT * FROM sess QUALIFY session = max(session) OVER (PARTITION BY do
 SELECT domain, count(*) AS sample_size, count(*) FILTER (WHERE status = 'completed') AS successes,
   list_reduce(list_prepend({{'n': 0::DOUBLE, 'm': 0::DOUBLE}}, list_transform(list(CAST(latency_ms AS DOUBLE) ORDER BY created_at, id), lambda x: {{'n': -1::DOUBLE, 'm': x}})),
     lambda a, x: {{'n': a.n + 1, 'm': floor((a.m * a.n + x.m) / (a.n + 1) + 0.5)}}).m AS avg_latency FROM last GROUP BY domain""",
+    "stream_ledger": """WITH e AS (SELECT event_id AS job_id, epoch_us(ts) // 1000 AS ms, event_id % 5 AS i FROM events)
+SELECT job_id, action, CAST(number AS BIGINT) AS number, CAST(ms + wait AS BIGINT) AS at_ms
+FROM e JOIN (VALUES (1, 'done', 1, 2000), (2, 'retry', 1, 2000), (2, 'done', 2, 4000), (3, 'dead', 1, 1000), (4, 'retry', 1, 2000), (4, 'retry', 2, 5000), (4, 'dead', 3, 7000),
+                    (0, 'redeliver', 1, 15000), (0, 'redeliver', 2, 30000), (0, 'dead', 3, 45000)) a(i, action, number, wait) USING (i)
+WHERE i > 0 OR ms + wait < (SELECT max(ms + [0, 2000, 4000, 2000, 7000][i + 1]) - 600000 FROM e)""",
     "stream_progress": "SELECT event_id AS job_id, CAST(4 AS BIGINT) AS events, 'done' AS closed FROM events",
 }

@@ -133,6 +133,65 @@ def rate_limit_state(calls: DataFrame, limit: int, key: str = "key", window_ms:
     return calls.groupBy(key).applyInPandasWithState(step, f"id long, {key} string, calls long, code int", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def job_ledger(messages: DataFrame, *, attempts: int = 3, first_wait_ms: int = 1000, stall_ms: int = 15_000, redeliveries: int = 2, closed_ms: int = 60_000) -> DataFrame:
+    """(job_id, action, number, at_ms): what a queue does with jobs as their messages come.
+
+    Messages are (job_id, ts, kind, permanent), kind being started, completed or failed.  A
+    job that fails is tried again (``retry``) after a wait that doubles, until its attempts
+    are used up or the error is permanent: then it is ``dead``.  A job that started and has
+    not been heard of for the time of a stall is delivered again (``redeliver``) so many
+    times, and is ``dead`` after one stall more.  A completed job is ``done``.  What comes of
+    a job that is done or dead is ignored for a while, so deliveries that repeat do no harm;
+    the state goes afterwards.  Messages are taken by time within a micro-batch; null kinds
+    and others count as signs of life.
+    """
+
+    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        failures, stalls, due, closed = state.get if state.exists else (0, 0, 0, False)
+        out = []
+
+        def stalled(now: int) -> None:
+            nonlocal stalls, due, closed
+            while due and not closed and due < now:
+                stalls += 1
+                closed = stalls > redeliveries
+                out.append(("dead" if closed else "redeliver", stalls, due))
+                due += closed_ms if closed else stall_ms
+
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches))
+            rows = rows.assign(ms=rows["ts"].astype("datetime64[ms]").astype("int64"), order=(rows["kind"] != "started").astype(int)).sort_values(["ms", "order"], kind="stable")
+            for ms, kind, permanent in zip(rows["ms"].tolist(), rows["kind"], rows["permanent"]):
+                stalled(ms)
+                if closed:
+                    continue
+                if kind == "completed":
+                    out.append(("done", failures + 1, ms))
+                    closed, due = True, ms + closed_ms
+                elif kind == "failed":
+                    failures += 1
+                    closed = failures >= attempts or (not pd.isna(permanent) and bool(permanent))
+                    wait = first_wait_ms * 2 ** (failures - 1)
+                    out.append(("dead", failures, ms) if closed else ("retry", failures, ms + wait))
+                    due = ms + (closed_ms if closed else wait + stall_ms)
+                else:
+                    due = ms + stall_ms
+        now = state.getCurrentWatermarkMs()
+        stalled(now)
+        if closed and due < now:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((failures, stalls, due, closed))
+            state.setTimeoutTimestamp(max(due, now + 1))
+        if out:
+            yield pd.DataFrame({"job_id": group[0], "action": [o[0] for o in out], "number": [o[1] for o in out], "at_ms": [o[2] for o in out]})
+
+    return messages.groupBy("job_id").applyInPandasWithState(
+        step, "job_id long, action string, number long, at_ms long", "failures long, stalls long, due long, closed boolean", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def job_results(pages: DataFrame) -> DataFrame:
     """The stages of a job for each captured page: content, then score and verdict.
 
