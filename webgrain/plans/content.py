@@ -144,6 +144,12 @@ QUERIES = {
         extract_markdown, clean_html, prune_html, structured_extract, listing_items, spec_gates, signed_payload, progress_rows,
     )
 }
+_DECODED = "replace(replace(replace(replace({}, '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
+_in = lambda pattern: _DECODED.format(f"trim(regexp_replace(regexp_extract(html, '(?s){pattern}', 1), '<[^>]*>', '', 'g'))")
+#: What the structured extraction's selectors mean on the supplied pages, by patterns over their text.
+_PARTS = f"""parts AS (SELECT page_id, {_in("<title>(.*?)</title>")} AS title, {_in("<article>.*?<h1>(.*?)</h1>")} AS heading,
+  {_in("<article>.*?<p>(.*?)(?:<p>|</p>|</article>)")} AS first, regexp_extract(html, '<footer>&copy; (\\S+)', 1) AS host FROM pages)"""
+_HMAC = lambda secret, pad: "from_hex('" + bytes(b ^ pad for b in secret.encode().ljust(64, b"\0")).hex() + "')"
 _SP = r"[ \t\n\r\f\x0B]"
 _MARKED = f"""marked AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '  ![](data:image/png;base64,AAAA)' || {_NL} || '# ' || text || {_NL} || {_NL} || {_NL} || {_NL} || ' ; ;' || {_NL}
   || '[menu](javascript:void(0)) [1]' || {_NL} || '- item [a](http://b.example)' || {_NL} || '## two' || {_NL} || {_NL} || {_NL} ELSE text END AS md FROM documents)"""
@@ -172,6 +178,13 @@ FROM (SELECT *, (conv_id * 7 + turn) % 3 AS k3 FROM fixed)""",
   SELECT count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE quality <> 1) AS bad, count(*) FILTER (WHERE quality = 1 AND s >= 0.7) AS good_right, count(*) FILTER (WHERE quality <> 1 AND s < 0.4) AS bad_right
   FROM (SELECT quality, least(1, length(text) / 2000) AS s FROM documents JOIN labels USING (doc_id)))""",
     "product_records": """SELECT page_id, 'Book & Co ' || page_id AS title, CASE WHEN page_id % 4 <> 0 THEN CAST(page_id % 60 || '.50' AS DOUBLE) END AS price, 'In stock' AS availability, CAST(page_id % 5 + 1 AS INT) AS rating FROM pages""",
+    "structured_extract": f"""WITH {_PARTS} SELECT page_id, '{{"title": ' || to_json(title) || ', "heading": ' || to_json(heading) || ', "first": ' || to_json(first) || ', "host": ' || to_json(host) || '}}' AS json FROM parts""",
+    "listing_items": f"""SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS item_no, {_DECODED.format("trim(regexp_extract(unnest(l), '>([^<]*)</a>', 1))")} AS name, {_DECODED.format("regexp_extract(unnest(l), 'href=\"([^\"]*)\"', 1)")} AS href
+FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav>.*?</nav>'), '<li><a [^>]*>[^<]*</a></li>') AS l FROM pages)""",
+    "spec_gates": f"""WITH {_PARTS} SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'miss' WHEN page_id % 5 = 3 THEN 'dropped: drift' WHEN page_id % 5 = 1 OR title = '' OR heading = '' THEN 'dropped: coverage'
+  WHEN page_id % 5 = 2 THEN 'poor' ELSE 'ok' END AS outcome FROM parts""",
+    "signed_payload": f"""SELECT page_id, url, payload, 'sha256=' || sha256({_HMAC("secret", 0x5C)} || from_hex(sha256({_HMAC("secret", 0x36)} || encode(payload)))) AS signature
+FROM (SELECT page_id, url, '{{"page_id":' || page_id || ',"url":' || to_json(url) || '}}' AS payload FROM pages)""",
     "progress_rows": """SELECT event_id AS job_id, unnest(['started', 'headers', 'content', CASE WHEN event_type = 'error' THEN 'error' ELSE 'complete' END]) AS event,
   unnest([d, CAST(1 + event_id % 5 AS VARCHAR), d, CASE WHEN event_type = 'error' THEN ['timeout: 60000 ms', 'ERR_NAME_NOT_RESOLVED: no such host', 'blocked: 403', 'blocked: captcha', 'network: reset'][event_id % 5 + 1]
     ELSE CAST(CAST(floor(value * 100) AS INT) AS VARCHAR) END]) AS data FROM (SELECT *, 'site' || (user_id % 20) || '.example.com' AS d FROM events)""",
