@@ -159,9 +159,10 @@ def job_ledger(messages: DataFrame, *, attempts: int = 3, first_wait_ms: int = 1
                 due += closed_ms if closed else stall_ms
 
         if not state.hasTimedOut:
-            rows = pd.concat(list(batches))
-            rows = rows.assign(ms=rows["ts"].astype("datetime64[ms]").astype("int64"), order=(rows["kind"] != "started").astype(int)).sort_values(["ms", "order"], kind="stable")
-            for ms, kind, permanent in zip(rows["ms"].tolist(), rows["kind"], rows["permanent"]):
+            heard = []  # a job has few messages: plain tuples cost less than frames
+            for pdf in batches:
+                heard += zip((pdf["ts"].to_numpy().astype("datetime64[ms]").astype("int64")).tolist(), pdf["kind"].tolist(), pdf["permanent"].tolist())
+            for ms, kind, permanent in sorted(heard, key=lambda m: (m[0], m[1] != "started")):
                 stalled(ms)
                 if closed:
                     continue
