@@ -122,3 +122,39 @@ def test_job_ledger_over_several_batches(spark, tmp_path):
     want = [(1, "retry", 1, 2), *stalled(1, 17), (2, "done", 1, 3), *stalled(3, 15), (4, "dead", 1, 1), *stalled(5, 15)]
     assert [g for g in got if g[0] != 9] == sorted(want)
     assert [g[1] for g in got if g[0] == 9].count("redeliver") == 2
+
+
+def opened(spark, stream, checkpoint):
+    """Runs a stream over what is there: the number of states that it keeps."""
+    query = stream.writeStream.format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress)
+
+
+def test_jobs_of_the_ledger_share_states(spark, tmp_path):
+    """Python is called once a state and batch, so the number of states may not be that of jobs."""
+    begun = "timestamp'2025-03-09 21:00:00'"
+    spark.range(3000).selectExpr("id AS job_id", f"{begun} AS ts", "'started' AS kind", "false AS permanent").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("job_id long, ts timestamp, kind string, permanent boolean").parquet(f"{tmp_path}/in").withWatermark("ts", "10 minutes")
+    assert 0 < opened(spark, S.job_ledger(stream), f"{tmp_path}/state") <= 1024
+
+
+def test_ledger_keeps_jobs_of_one_state_apart(spark, tmp_path):
+    """Two hundred jobs and one without an id, all in few states, over two micro-batches."""
+    at = lambda seconds: dt.datetime(2025, 3, 9, 21) + dt.timedelta(seconds=seconds)
+    jobs = [*range(200), None]
+    first = [(j, at(0), "failed", j is not None and j % 3 == 0) for j in jobs]
+    then = [(j, at(2), "completed", None) for j in jobs if j is None or j % 2 == 0] + [(999, at(5000), "started", False)]
+    schema = "job_id long, ts timestamp, kind string, permanent boolean"
+    for n, rows in enumerate((first, then)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/part={n}")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/part=*").withWatermark("ts", "10 minutes")
+        out = S.run_once(S.job_ledger(stream, groups=2), f"{tmp_path}/out", f"{tmp_path}/state")
+    want = []
+    for j in jobs:
+        if j is not None and j % 3 == 0:
+            want.append((j, "dead", 1))
+            continue
+        want.append((j, "retry", 1))
+        want += [(j, "done", 2)] if j is None or j % 2 == 0 else [(j, "redeliver", 1), (j, "redeliver", 2), (j, "dead", 3)]
+    assert Counter((r.job_id, r.action, r.number) for r in out.collect() if r.job_id != 999) == Counter(want)

@@ -17,6 +17,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 WATERMARK = "10 minutes"
 TERMINAL = ("complete", "error")
+#: Jobs share so many states, by a hash of their ids: Python is called once a group and
+#: batch, not once a job.  A stream's number of groups stays with its checkpoint.
+GROUPS = 1024
+#: Kinds of messages as numbers; others are signs of life.
+STARTED, COMPLETED, FAILED, OTHER = range(4)
+ACTIONS = np.array(["done", "dead", "retry", "redeliver"], object)
+DONE, DEAD, RETRY, REDELIVER = range(4)
 
 
 def event_stream(spark: SparkSession, path: str, schema, ts: str = "ts", **options: str) -> DataFrame:
@@ -58,6 +65,27 @@ def progress_events(results: DataFrame) -> DataFrame:
     )
 
 
+def _dealt(rows: DataFrame, groups: int) -> DataFrame:
+    """The rows with the group of their job, by a hash; rows without a job are one of their own."""
+    job = F.col("job_id").cast("long")
+    group = F.when(job.isNull(), -1).otherwise(F.pmod(F.xxhash64(job), F.lit(groups))).cast("int")
+    return rows.withColumns({"group": group, "job_id": F.coalesce(job, F.lit(0))})
+
+
+def _stored(state: GroupState, fields: int) -> np.ndarray:
+    """(fields, jobs): what a group's state says of its open jobs, their ids first."""
+    return np.frombuffer(state.get[0] if state.exists else b"", np.int64).reshape(fields, -1)
+
+
+def _store(state: GroupState, jobs: np.ndarray, due: np.ndarray, now: int) -> None:
+    """Keeps the jobs, and has the group called again when the first of them is due."""
+    if jobs.shape[1]:
+        state.update((np.ascontiguousarray(jobs, np.int64).tobytes(),))
+        state.setTimeoutTimestamp(max(int(due.min()), now + 1))
+    elif state.exists:
+        state.remove()
+
+
 def until_terminal(events: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
     """(job_id, events, closed): jobs' streams, closed by a terminal event or by silence."""
 
@@ -133,7 +161,9 @@ def rate_limit_state(calls: DataFrame, limit: int, key: str = "key", window_ms:
     return calls.groupBy(key).applyInPandasWithState(step, f"id long, {key} string, calls long, code int", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def job_ledger(messages: DataFrame, *, attempts: int = 3, first_wait_ms: int = 1000, stall_ms: int = 15_000, redeliveries: int = 2, closed_ms: int = 60_000) -> DataFrame:
+def job_ledger(
+    messages: DataFrame, *, attempts: int = 3, first_wait_ms: int = 1000, stall_ms: int = 15_000, redeliveries: int = 2, closed_ms: int = 60_000, groups: int = GROUPS
+) -> DataFrame:
     """(job_id, action, number, at_ms): what a queue does with jobs as their messages come.
 
     Messages are (job_id, ts, kind, permanent), kind being started, completed or failed.  A
@@ -147,49 +177,56 @@ def job_ledger(messages: DataFrame, *, attempts: int = 3, first_wait_ms: int = 1
     """
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures, stalls, due, closed = state.get if state.exists else (0, 0, 0, False)
-        out = []
-
-        def stalled(now: int) -> None:
-            nonlocal stalls, due, closed
-            while due and not closed and due < now:
-                stalls += 1
-                closed = stalls > redeliveries
-                out.append(("dead" if closed else "redeliver", stalls, due))
-                due += closed_ms if closed else stall_ms
-
+        known, now = _stored(state, 5), state.getCurrentWatermarkMs()
+        heard = [np.zeros((4, 0), np.int64)]
         if not state.hasTimedOut:
-            heard = []  # a job has few messages: plain tuples cost less than frames
-            for pdf in batches:
-                heard += zip((pdf["ts"].to_numpy().astype("datetime64[ms]").astype("int64")).tolist(), pdf["kind"].tolist(), pdf["permanent"].tolist())
-            for ms, kind, permanent in sorted(heard, key=lambda m: (m[0], m[1] != "started")):
-                stalled(ms)
-                if closed:
+            heard += [np.stack([pdf[c].to_numpy().astype(np.int64) for c in ("job_id", "ms", "kind", "permanent")]) for pdf in batches]
+        told = np.concatenate(heard, axis=1)
+        told = told[:, np.lexsort((told[2] != STARTED, told[1], told[0]))]
+        jobs, begins = np.unique(told[0], return_index=True)
+        ends = np.append(begins[1:], told.shape[1])
+        moves = np.isin(known[0], jobs) | (known[3] < now)
+        before = {job: said for job, *said in known[:, moves].T.tolist()}
+        spans = dict(zip(jobs.tolist(), zip(begins.tolist(), ends.tolist())))
+        _, times, kinds, permanents = told.tolist()
+        out: list[tuple[int, int, int, int]] = []
+        left: list[tuple[int, int, int, int, int]] = []
+        for job in spans | before:
+            failures, stalls, due, closed = before.get(job, (0, 0, 0, 0))
+            begin, end = spans.get(job, (0, 0))
+            for at in range(begin, end + 1):
+                ms = times[at] if at < end else now  # the watermark comes last
+                while due and not closed and due < ms:
+                    stalls += 1
+                    closed = stalls > redeliveries
+                    out.append((job, DEAD if closed else REDELIVER, stalls, due))
+                    due += closed_ms if closed else stall_ms
+                if closed or at == end:
                     continue
-                if kind == "completed":
-                    out.append(("done", failures + 1, ms))
+                kind = kinds[at]
+                if kind == COMPLETED:
+                    out.append((job, DONE, failures + 1, ms))
                     closed, due = True, ms + closed_ms
-                elif kind == "failed":
+                elif kind == FAILED:
                     failures += 1
-                    closed = failures >= attempts or (not pd.isna(permanent) and bool(permanent))
+                    closed = failures >= attempts or permanents[at]
                     wait = first_wait_ms * 2 ** (failures - 1)
-                    out.append(("dead", failures, ms) if closed else ("retry", failures, ms + wait))
+                    out.append((job, DEAD, failures, ms) if closed else (job, RETRY, failures, ms + wait))
                     due = ms + (closed_ms if closed else wait + stall_ms)
                 else:
                     due = ms + stall_ms
-        now = state.getCurrentWatermarkMs()
-        stalled(now)
-        if closed and due < now:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((failures, stalls, due, closed))
-            state.setTimeoutTimestamp(max(due, now + 1))
+            if not closed or due >= now:
+                left.append((job, failures, stalls, due, closed))
+        kept = np.concatenate([known[:, ~moves], np.array(left, np.int64).reshape(-1, 5).T], axis=1)
+        _store(state, kept, kept[3], now)
         if out:
-            yield pd.DataFrame({"job_id": group[0], "action": [o[0] for o in out], "number": [o[1] for o in out], "at_ms": [o[2] for o in out]})
+            job, action, number, at_ms = np.array(out, np.int64).T
+            yield pd.DataFrame({"job_id": job if group[0] >= 0 else [None] * len(job), "action": ACTIONS[action], "number": number, "at_ms": at_ms})
 
-    return messages.groupBy("job_id").applyInPandasWithState(
-        step, "job_id long, action string, number long, at_ms long", "failures long, stalls long, due long, closed boolean", "append", GroupStateTimeout.EventTimeTimeout
+    kind = F.when(F.col("kind") == "started", STARTED).when(F.col("kind") == "completed", COMPLETED).when(F.col("kind") == "failed", FAILED).otherwise(OTHER)
+    told = messages.select("job_id", "ts", F.coalesce(F.unix_millis("ts"), F.lit(-(1 << 63))).alias("ms"), kind.alias("kind"), F.coalesce("permanent", F.lit(False)).alias("permanent"))
+    return _dealt(told, groups).groupBy("group").applyInPandasWithState(
+        step, "job_id long, action string, number long, at_ms long", "jobs binary", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
