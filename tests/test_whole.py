@@ -158,3 +158,27 @@ def test_ledger_keeps_jobs_of_one_state_apart(spark, tmp_path):
         want.append((j, "retry", 1))
         want += [(j, "done", 2)] if j is None or j % 2 == 0 else [(j, "redeliver", 1), (j, "redeliver", 2), (j, "dead", 3)]
     assert Counter((r.job_id, r.action, r.number) for r in out.collect() if r.job_id != 999) == Counter(want)
+
+
+def test_jobs_of_progress_streams_share_states(spark, tmp_path):
+    spark.range(3000).selectExpr("id AS job_id", "'started' AS event", "'' AS data", "timestamp'2025-03-09 21:00:00' AS ts").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("job_id long, event string, data string, ts timestamp").parquet(f"{tmp_path}/in").withWatermark("ts", "10 minutes")
+    assert 0 < opened(spark, S.until_terminal(stream), f"{tmp_path}/state") <= 1024
+
+
+def test_progress_streams_of_one_state_are_told_apart(spark, tmp_path):
+    """Jobs that end in a later micro-batch, fall silent, or have no id, all in one state."""
+    at = lambda seconds: dt.datetime(2025, 3, 9, 21) + dt.timedelta(seconds=seconds)
+    parts = [
+        [(9, "started", at(0))],  # the watermark is known from here on
+        [(1, "started", at(0)), (1, "headers", at(1)), (2, "started", at(0)), (3, "started", at(0)), (3, "error", at(2)), (None, None, at(0))],
+        [(1, "complete", at(3)), (None, "complete", at(3)), (9, "started", at(5000))],
+        [(9, "headers", at(9000))],
+    ]
+    schema = "job_id long, event string, ts timestamp"
+    for n, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/part={n}")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/part=*").withWatermark("ts", "10 minutes")
+        out = S.run_once(S.until_terminal(stream, groups=1), f"{tmp_path}/out", f"{tmp_path}/state")
+    got = Counter(tuple(r) for r in out.collect() if r.job_id != 9)
+    assert got == Counter([(1, 3, "done"), (2, 1, "timeout"), (3, 2, "done"), (None, 2, "done")])

@@ -86,28 +86,30 @@ def _store(state: GroupState, jobs: np.ndarray, due: np.ndarray, now: int) -> No
         state.remove()
 
 
-def until_terminal(events: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
+def until_terminal(events: DataFrame, timeout_ms: int = 60_000, groups: int = GROUPS) -> DataFrame:
     """(job_id, events, closed): jobs' streams, closed by a terminal event or by silence."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"job_id": [key[0]], "events": [n], "closed": ["timeout"]})
-            return
-        done = False
-        for pdf in batches:
-            n += len(pdf)
-            done = done or bool(pdf["event"].isin(TERMINAL).any())
-        if done:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"job_id": [key[0]], "events": [n], "closed": ["done"]})
-        else:
-            state.update((n,))
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + timeout_ms)
-
-    return events.groupBy("job_id").applyInPandasWithState(step, "job_id long, events long, closed string", "n long", "append", GroupStateTimeout.EventTimeTimeout)
+    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known, now = _stored(state, 3), max(state.getCurrentWatermarkMs(), 0)
+        held = [(known[0], known[1], np.zeros(known.shape[1], bool), np.zeros(known.shape[1], bool))]
+        if not state.hasTimedOut:
+            for pdf in batches:
+                which, jobs = pd.factorize(pdf["job_id"].to_numpy())
+                ended = np.bincount(which, pdf["ended"].to_numpy(), len(jobs)) > 0
+                held.append((jobs, np.bincount(which, minlength=len(jobs)), ended, np.ones(len(jobs), bool)))
+        which, jobs = pd.factorize(np.concatenate([h[0] for h in held]))  # known ones come first
+        n, ended, heard = (np.bincount(which, np.concatenate([h[k] for h in held]), len(jobs)).astype(np.int64) for k in (1, 2, 3))
+        due = np.concatenate([known[2], np.zeros(len(jobs) - known.shape[1], np.int64)])
+        due[heard > 0] = now + timeout_ms
+        silent = (heard == 0) & (due < now)
+        closed = (ended > 0) | silent
+        _store(state, np.stack([jobs, n, due])[:, ~closed], due[~closed], now)
+        if closed.any():
+            names = jobs[closed] if group[0] >= 0 else [None] * int(closed.sum())
+            yield pd.DataFrame({"job_id": names, "events": n[closed], "closed": np.where(silent[closed], "timeout", "done")})
+
+    told = _dealt(events.withColumn("ended", F.coalesce(F.col("event").isin(*TERMINAL), F.lit(False))).drop("event", "data"), groups)
+    return told.groupBy("group").applyInPandasWithState(step, "job_id long, events long, closed string", "jobs binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def strategy_state(fetches: DataFrame, key: str = "domain", ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:
