@@ -350,3 +350,32 @@ def test_ids_of_words_are_those_of_each_word():
     spelling = lm_score.Spelling.of(w, sub)
     decoded = [sub.encoding.decode(p.tolist()) for p in np.split(spelling.ids, np.cumsum(spelling.lengths)[:-1])[1:]]
     assert spelling.ids[0] == sub.end and decoded == [" the", " été"] and w.tokens.tolist() == [0, 0, 1, 1, 0, 2, 0]
+
+
+def test_pairs_beyond_the_frequent_ones_count_as_exactly(spark, monkeypatch):
+    """Scores don't depend on how many words and pairs of ids go to the tasks."""
+    rng = np.random.default_rng(8)
+    docs = [(i, prose(rng, ["en", "fr"][i % 2], int(rng.integers(1, 80)))) for i in range(60)] + ODD + [(2000, "unheard words zzxyqqv"), (2001, "zzxyqqv qqvzzx qvxzqv")]
+    df = spark.createDataFrame(docs, DOCS).repartition(3).cache()
+    found = {}
+    for most in (lm_score.FREQUENT, 200, 20, 0):
+        monkeypatch.setattr(lm_score.frequent, "__defaults__", (most,))
+        found[most] = sorted(((str(r.doc_id), r.n_tokens, r.n_known, r.base_score, r.score) for r in lm_score.score(df).collect()))
+    for most in (200, 20, 0):
+        for a, b in zip(found[lm_score.FREQUENT], found[most], strict=True):
+            assert a[:3] == b[:3] and np.allclose(a[3:], b[3:], rtol=1e-6, atol=1e-6), (most, a, b)
+
+
+def test_runs_of_blocks_have_the_gradients_of_their_windows():
+    _, net = small_net()
+    rng = np.random.default_rng(4)
+    pad, B = np.full(lm_score.BLOCK, -1), lm_score.BLOCK
+    sub = lm_score.Subwords(lm_score.rank_path())
+    some = rng.choice(np.flatnonzero(sub.opens), 4 * B)
+    first, last = np.concatenate([pad, [sub.end], some, pad]), np.concatenate([pad, [sub.end], some[::-1], pad])
+    begin = np.full(4, B)
+    want = lm_score.gradients(net, first, last, begin + np.arange(4) * B, begin)
+    before = [np.concatenate([np.full(B, own[sub.end]), own[ids[B : -B - 1]]]).reshape(1, 5, B) for own, ids in ((net.own_first, first), (net.own_last, last))]
+    opens = np.array([[True, False, False, False]])
+    got = lm_score.run_gradients(net, *before, opens, net.class_of[some].reshape(1, 4, B))
+    assert abs(got[0] - want[0]) < 1e-5 and all(np.allclose(a, b, atol=1e-6) for a, b in zip(got[1], want[1]))

@@ -19,7 +19,8 @@ the training documents goes on from there over all its windows, and the shards'
 weights are averaged by their numbers of tokens.
 
 Counts of the most frequent words, a bounded number, go to all tasks.  Of the
-other words each document's own are joined with the table of counts.
+other words each document's own are joined with the table of counts; so are the
+pairs of ids inside words, where a corpus has more than go to all tasks.
 """
 
 from __future__ import annotations
@@ -50,7 +51,9 @@ ALONE, BANDS = 56, 8
 CLASSES = ALONE + BANDS
 #: The same of the ids that others follow inside a word.
 SPELL_ALONE, SPELL_BANDS = 112, 16
-STEPS, BATCH = 900, 256
+#: Steps on the sample; blocks of a step, and how many of them stand in a row, so that
+#: they share what they read before them.
+STEPS, BATCH, RUN = 900, 256, 8
 #: Tokens of a shard, about; tokens that it holds at a time; its highest rate of learning.
 SHARD_TOKENS, HELD_TOKENS, SHARD_RATE = 1 << 21, 1 << 21, 0.002
 #: Tokens of a stored sequence at most: a longer text is several.
@@ -249,92 +252,133 @@ Sequence = tuple[np.ndarray, np.ndarray]  # a text's words: first ids and last i
 
 def _rows_added(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """(n, width): the sums of the values by row."""
-    width = values.shape[1]
-    at = (rows[:, None] * width + np.arange(width)).ravel()
-    return np.bincount(at, values.ravel(), n * width).reshape(n, width).astype(np.float32)
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    begins = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    out = np.zeros((n, values.shape[1]), np.float32)
+    out[rows[begins]] = np.add.reduceat(values[order], begins, axis=0)
+    return out
 
 
 def gradients(net: Attention, first: np.ndarray, last: np.ndarray, start: np.ndarray, begin: np.ndarray) -> tuple[float, list[np.ndarray]]:
     """Mean loss of the windows that start at the given places, and its gradients.
 
     first and last are ids in a row, -1 where there is none; start is where what
-    stands before a block's first token is, begin where its text's opening end id is.
+    stands before a block's first token is, begin where its text's opening end id is,
+    a whole number of blocks before.
     """
     key_at = start[:, None] + np.arange(-BLOCK, BLOCK)
-    dead = (key_at < begin[:, None]) | (first[key_at] < 0)
-    key_at = np.where(dead, begin[:, None], key_at)
-    row_f, row_l = net.own_first[first[key_at]], net.own_last[last[key_at]]
+    key_at = np.where((key_at < begin[:, None]) | (first[key_at] < 0), begin[:, None], key_at)
     targets = first[start[:, None] + 1 + np.arange(BLOCK)]
-    live = (targets >= 0).ravel()
-    y = net.class_of[np.maximum(targets, 0)].ravel()
+    rows = [own[ids[key_at]].reshape(-1, 2, BLOCK) for own, ids in ((net.own_first, first), (net.own_last, last))]
+    y = np.where(targets < 0, -1, net.class_of[np.maximum(targets, 0)])
+    return run_gradients(net, *rows, (start == begin)[:, None], y[:, None])
+
+
+def run_gradients(net: Attention, row_f: np.ndarray, row_l: np.ndarray, opens: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The same of runs of blocks, (runs, blocks, BLOCK).
+
+    row_f and row_l are the rows of ``embed`` of what stands before each token, of one
+    block more, which each run's first one follows; opens tells the blocks that open a
+    text, y the tokens' classes, -1 where there is no token, at a text's end.
+    """
+    runs, blocks = opens.shape
     flat = lambda m: m.reshape(-1, m.shape[-1])
-    shaped = lambda m: m.reshape(len(start), -1, m.shape[-1])
+    wide = lambda m: m.reshape(runs, blocks + 1, BLOCK, -1)
+    windows = lambda m: np.concatenate([m[:, :-1], m[:, 1:]], axis=2)
+
+    def single(d: np.ndarray) -> np.ndarray:
+        """Sums by block of what two windows have of it."""
+        out = np.zeros((runs, blocks + 1, BLOCK, d.shape[-1]), np.float32)
+        out[:, 1:] = d[:, :, BLOCK:]
+        out[:, :-1] += d[:, :, :BLOCK]
+        return out
+
+    y = y.ravel()
+    live = y >= 0
     e = net.embed[row_f] + net.embed[row_l]
-    eq = np.ascontiguousarray(e[:, BLOCK:])
-    q, k, v = shaped(flat(eq) @ (net.wq / np.float32(WIDTH**0.5))), shaped(flat(e) @ net.wk), shaped(flat(e) @ net.wv)
-    s = q @ k.transpose(0, 2, 1)
-    s += np.where(DISTANCE >= 0, net.near[np.maximum(DISTANCE, 0)], _HIDDEN_KEY)
-    s += np.where(dead, _HIDDEN_KEY, np.float32(0))[:, None, :]
-    s -= s.max(axis=2, keepdims=True)
+    eq = np.ascontiguousarray(e[:, 1:])
+    q = (flat(eq) @ (net.wq / np.float32(WIDTH**0.5))).reshape(eq.shape)
+    k, v = windows(wide(flat(e) @ net.wk)), windows(wide(flat(e) @ net.wv))
+    s = q @ k.swapaxes(2, 3)
+    np.minimum(s, 60, out=s)  # as in scoring: so that no sum of exponentials leaves the range of floats
+    s += np.where(DISTANCE >= 0, net.near[np.maximum(DISTANCE, 0)], _HIDDEN_KEY).astype(np.float32)
+    s[opens, :, :BLOCK] = _HIDDEN_KEY
     p = np.exp(s, out=s)
-    p /= p.sum(axis=2, keepdims=True)
+    p /= p.sum(axis=3, keepdims=True)
     both = np.concatenate([flat(eq), flat(p @ v)], axis=1)
     h = both @ net.w1
     h += net.b1
     np.maximum(h, 0, out=h)
     z = h @ net.w2
     z += net.b2
-    z -= z.max(axis=1, keepdims=True)
+    np.minimum(z, 80, out=z)
+    np.maximum(z, -80, out=z)
     d = np.exp(z, out=z)
-    d /= d.sum(axis=1, keepdims=True)
     at = np.arange(len(d))
+    y = np.maximum(y, 0)
     n = max(int(live.sum()), 1)
-    loss = -float((np.log(np.maximum(d[at, y], 1e-30)) * live).sum()) / n
-    d[at, y] -= 1
-    d *= (live / np.float32(n)).astype(np.float32)[:, None]
-    g_w2, g_b2 = h.T @ d, d.sum(axis=0)
+    mass = d @ np.ones(CLASSES, np.float32)
+    loss = -float((np.log(np.maximum(d[at, y] / mass, 1e-30)) * live).sum()) / n
+    weight = live.astype(np.float32) / np.float32(n)
+    d *= (weight / mass)[:, None]
+    d[at, y] -= weight
+    g_w2, g_b2 = h.T @ d, np.ones(len(d), np.float32) @ d
     dh = d @ net.w2.T
     dh *= h > 0
-    g_w1, g_b1 = both.T @ dh, dh.sum(axis=0)
+    g_w1, g_b1 = both.T @ dh, np.ones(len(dh), np.float32) @ dh
     dboth = dh @ net.w1.T
-    da = shaped(np.ascontiguousarray(dboth[:, WIDTH:]))
-    dv = p.transpose(0, 2, 1) @ da
-    ds = da @ v.transpose(0, 2, 1)
-    ds -= (ds * p).sum(axis=2, keepdims=True)
+    da = np.ascontiguousarray(dboth[:, WIDTH:]).reshape(eq.shape)
+    dv = single(p.swapaxes(2, 3) @ da)
+    ds = da @ v.swapaxes(2, 3)
+    ds -= (ds * p).sum(axis=3, keepdims=True)
     ds *= p
-    g_near = np.bincount(np.maximum(DISTANCE, 0).ravel(), (ds.sum(axis=0) * (DISTANCE >= 0)).ravel(), 2 * BLOCK).astype(np.float32)
-    dq, dk = flat(ds @ k) / np.float32(WIDTH**0.5), flat(ds.transpose(0, 2, 1) @ q)
-    g_wq, g_wk, g_wv = flat(eq).T @ dq, flat(e).T @ dk, flat(e).T @ flat(dv)
-    de = shaped(dk @ net.wk.T + flat(dv) @ net.wv.T)
-    de[:, BLOCK:] += shaped(dq @ net.wq.T + dboth[:, :WIDTH])
+    g_near = np.bincount(np.maximum(DISTANCE, 0).ravel(), (ds.sum(axis=(0, 1)) * (DISTANCE >= 0)).ravel(), 2 * BLOCK).astype(np.float32)
+    dq, dk = flat(ds @ k) / np.float32(WIDTH**0.5), single(ds.swapaxes(2, 3) @ q)
+    g_wq, g_wk, g_wv = flat(eq).T @ dq, flat(e).T @ flat(dk), flat(e).T @ flat(dv)
+    de = wide(flat(dk) @ net.wk.T + flat(dv) @ net.wv.T)
+    de[:, 1:] += (dq @ net.wq.T + dboth[:, :WIDTH]).reshape(eq.shape)
     de = flat(de)
     g_embed = _rows_added(np.concatenate([row_f.ravel(), row_l.ravel()]), np.concatenate([de, de]), len(net.embed))
     return loss, [g_embed, g_wq, g_wk, g_wv, g_near, g_w1, g_b1, g_w2, g_b2]
 
 
 def fit(net: Attention, texts: list[Sequence], steps: int | None = STEPS, seed: int = 13, most: float = 0.01) -> Attention:
-    """Trains the weights on random windows of the texts; without a number of steps, on
-    each window once."""
+    """Trains the weights on random runs of the texts' blocks; without a number of steps, on
+    each block once."""
     if not texts:
         return net
     rng = np.random.default_rng(seed)
-    pad = np.full(BLOCK, -1, np.int64)
-    # an end before each text opens it
-    first, last = (np.concatenate([np.concatenate([pad, [net.end], t[k], pad]) for t in texts]) for k in (0, 1))
     sizes = np.array([len(t[0]) for t in texts])
-    opening = np.cumsum(sizes + 1 + 2 * BLOCK) - sizes - 1 - BLOCK
     blocks = -(-sizes // BLOCK)
-    text_of = np.repeat(np.arange(len(texts)), blocks)
-    block_of = np.arange(len(text_of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    before = np.cumsum(blocks) - blocks
+    total = -(-int(blocks.sum()) // RUN) * RUN
+    places = np.arange(sizes.sum()) + np.repeat(before * BLOCK - np.cumsum(sizes) + sizes, sizes)
+
+    def rows_of(own: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """(1 + blocks, BLOCK): rows of what stands before each token, one block first that nobody sees."""
+        out = np.full((total + 1) * BLOCK + 1, own[net.end], np.int16)
+        out[BLOCK + 1 + places] = own[ids]
+        out[(before + 1) * BLOCK] = own[net.end]  # an end before each text opens it
+        return out[:-1].reshape(-1, BLOCK)
+
+    first = np.concatenate([t[0] for t in texts])
+    row_f, row_l = rows_of(net.own_first, first), rows_of(net.own_last, np.concatenate([t[1] for t in texts]))
+    y = np.full(total * BLOCK, -1, np.int16)
+    y[places] = net.class_of[first]
+    y = y.reshape(-1, BLOCK)
+    opens = np.ones(total, bool)
+    opens[: blocks.sum()] = False
+    opens[before] = True
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in net.weights()]
     if steps is None:
-        steps = -(-len(text_of) // BATCH)
-        picks = iter(np.array_split(rng.permutation(len(text_of)), steps))
+        steps = -(-total // BATCH)
+        picks = iter(np.array_split(rng.permutation(total // RUN), steps))
     else:
-        picks = (rng.integers(len(text_of), size=BATCH) for _ in range(steps))
+        picks = (rng.integers(total // RUN, size=BATCH // RUN) for _ in range(steps))
     for step, pick in enumerate(picks, 1):
-        begin = opening[text_of[pick]]
-        _, grads = gradients(net, first, last, begin + block_of[pick] * BLOCK, begin)
+        at = pick[:, None] * RUN + np.arange(RUN + 1)
+        _, grads = run_gradients(net, row_f[at], row_l[at], opens[at[:, :-1]], y[at[:, :-1]])
         rate = most * min(1, step / 30) * (1 - 0.95 * step / steps)
         for w, g, (m, u) in zip(net.weights(), grads, moments):
             m += 0.1 * (g - m)
@@ -350,10 +394,8 @@ class Scorer:
         self.net = net
         bias = net.near[np.maximum(DISTANCE, 0)]
         self.bias = np.where(DISTANCE >= 0, bias, _HIDDEN_KEY).astype(np.float32)
-        self.edge = self.bias.copy()  # nothing stands before a text's first block
-        self.edge[:, :BLOCK] = _HIDDEN_KEY
 
-    def text_scores(self, words: Words, first: np.ndarray, last: np.ndarray, batch: int = 512) -> np.ndarray:
+    def text_scores(self, words: Words, first: np.ndarray, last: np.ndarray, batch: int = 128) -> np.ndarray:
         """log10 probability of the first ids of each text's tokens."""
         net, counts, n = self.net, words.counts, len(words.counts)
         e = net.embed[net.own_first[first]] + net.embed[net.own_last[last]]
@@ -377,25 +419,28 @@ class Scorer:
         for a in range(0, len(text), batch):
             b = min(a + batch, len(text))
             own = given[a:b]
-            keys = np.concatenate([given[np.maximum(np.arange(a, b) - 1, 0)], own], axis=1)
-            s = query[own] @ key[keys].transpose(0, 2, 1)
+            seen = np.concatenate([given[max(a - 1, 0) : max(a, 1)], own])  # each block after the one before it
+            k, v = (np.concatenate([m[:-1], m[1:]], axis=1) for m in (key[seen], value[seen]))
+            s = query[own] @ k.transpose(0, 2, 1)
             np.minimum(s, 60, out=s)
-            s += np.where(opening[a:b, None, None], self.edge, self.bias)
+            s += self.bias
+            s[opening[a:b], :, :BLOCK] = _HIDDEN_KEY  # nothing stands before a text's first block
             np.exp(s, out=s)
-            att = s @ value[keys]
-            att /= s.sum(axis=2, keepdims=True)
+            att = s @ v
+            att /= (s @ np.ones(2 * BLOCK, np.float32))[:, :, None]
             h = att.reshape(-1, WIDTH) @ net.w1[WIDTH:]
             h += direct[own.ravel()]
             np.maximum(h, 0, out=h)
             z = h @ net.w2
             z += net.b2
-            np.clip(z, -80, 80, out=z)  # so that no sum of exponentials leaves the range of floats
+            np.minimum(z, 80, out=z)
+            np.maximum(z, -80, out=z)  # so that no sum of exponentials leaves the range of floats
             goal = target[a:b].ravel()
             live = goal >= 0
             goal = np.maximum(goal, 0)
             got = z[np.arange(len(z)), kind[goal]]
             np.exp(z, out=z)
-            log = (got - np.log(z.sum(axis=1))) / np.float32(np.log(10)) + net.within[kind[own.ravel()], first[goal]]
+            log = (got - np.log(z @ np.ones(CLASSES, np.float32))) / np.float32(np.log(10)) + net.within[kind[own.ravel()], first[goal]]
             total += np.bincount(np.repeat(text[a:b], BLOCK), np.where(live, log, 0), n)
         return total
 
@@ -413,21 +458,33 @@ class Spells:
     after: np.ndarray  # by the class of an id and the id: share of the id after it in a word
     pairs: np.ndarray  # the frequent pairs, id * ids + next id, ascending
     times: np.ndarray  # how often
-    sums: np.ndarray  # of each id: frequent pairs that it begins, all and distinct ones
+    sums: np.ndarray  # of each id: pairs that it begins, all and distinct ones
     different: np.ndarray
     end: int
+    whole: bool = True  # all pairs are frequent ones
 
     def share(self, prev: np.ndarray, then: np.ndarray) -> np.ndarray:
         """Of an id after another: its class's share, interpolated with the pair's count."""
         out = self.after[self.class_of[prev], then].astype(np.float64)
-        if not len(self.pairs):
-            return out
-        item = prev * len(self.class_of) + then
-        at = np.minimum(np.searchsorted(self.pairs, item), len(self.pairs) - 1)
-        n = np.where(self.pairs[at] == item, self.times[at], 0)
+        n = 0
+        if len(self.pairs):
+            item = prev * len(self.class_of) + then
+            at = np.minimum(np.searchsorted(self.pairs, item), len(self.pairs) - 1)
+            n = np.where(self.pairs[at] == item, self.times[at], 0)
         some = self.different[prev]
         return (n + some * out + (some == 0) * out) / (self.sums[prev] + some + (some == 0))
 
+    def beyond(self, spelling: Spelling) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, pair, mass) of the pairs that aren't frequent ones: what ``of`` takes a count
+        of none for, and what the class gives the pair, in counts.  With a count of n the
+        word's ``own`` is log10(1 + n / mass) larger."""
+        prev, then, word = spelling.steps(self.end)
+        item = prev * len(self.class_of) + then
+        at = np.minimum(np.searchsorted(self.pairs, item), max(len(self.pairs) - 1, 0))
+        some = (self.different[prev] > 0) & ((self.pairs[at] != item) if len(self.pairs) else True)
+        prev, then = prev[some], then[some]
+        return word[some], item[some], self.different[prev] * self.after[self.class_of[prev], then].astype(np.float64)
+
     def of(self, spelling: Spelling) -> tuple[np.ndarray, np.ndarray]:
         """(own, below) of each distinct word: log10 of the mass that its spelling alone
         gives it, and of the mass of all words with its first id.  With a count of n
@@ -539,6 +596,11 @@ def spelled_pairs(words: DataFrame, end: int, size: int) -> DataFrame:
     return words.mapInArrow(lean(run, None), "item long, n long").groupBy("item").agg(F.sum("n").alias("n"))
 
 
+def inner_pairs(words: DataFrame, subwords: Subwords) -> DataFrame:
+    """(item, n): the table of all pairs of ids inside words."""
+    return written(spelled_pairs(words.where(F.col("first") != subwords.end).select("a"), subwords.end, subwords.size), "spelled")
+
+
 def _by_class(both: DataFrame, class_of: np.ndarray, classes: int, size: int) -> np.ndarray:
     """(classes, ids): counts of ids by the class of the id before."""
     table = both.sparkSession.createDataFrame(pa.table({"before": np.arange(size), "class": class_of}))  # a row an id of the vocabulary file
@@ -556,28 +618,29 @@ def _totals(df: DataFrame, by: str, size: int, value: str = "n") -> np.ndarray:
     return out
 
 
-def models_of(words: DataFrame, neighbours: DataFrame, subwords: Subwords) -> tuple[Attention, Spells]:
-    """An untrained network and the spelling of words, by counts over the corpus."""
+def models_of(words: DataFrame, neighbours: DataFrame, subwords: Subwords, inner: DataFrame | None = None) -> tuple[Attention, Spells]:
+    """An untrained network and the spelling of words, by counts over the corpus; inner is
+    the table of pairs inside words, if it is there."""
     size, end = subwords.size, subwords.end
     split = lambda df: df.select(F.expr(f"CAST(item div {size} AS INT)").alias("before"), (F.col("item") % size).cast("int").alias("id"), "n")
     pairs = split(neighbours)
     class_of = classes_of(_totals(pairs, "id", size), ALONE, BANDS)
-    table = written(spelled_pairs(words.where(F.col("first") != end).select("a"), end, size), "spelled")
+    table = inner_pairs(words, subwords) if inner is None else inner
     inside = split(table)
     last = _totals(inside.where(F.col("id") == end), "before", size)
     net = fresh(_by_class(pairs, class_of, CLASSES, size), last, class_of, subwords.opens, end)
-    spell_class = classes_of(_totals(inside, "before", size), SPELL_ALONE, SPELL_BANDS)
+    sums, different = _totals(inside, "before", size), _totals(inside.withColumn("one", F.lit(1)), "before", size, "one")
+    spell_class = classes_of(sums, SPELL_ALONE, SPELL_BANDS)
     n = _by_class(inside, spell_class, SPELL_ALONE + SPELL_BANDS, size)
     share = n.sum(axis=0) + UNSEEN
     share /= share.sum()
     after = ((n + PRIOR * share) / (n.sum(axis=1, keepdims=True) + PRIOR)).astype(np.float32)
     items, times = frequent(table)
     items = items.view(np.int64)
-    begun = items // size
     by_first = written(words.groupBy("first").agg(F.sum("n").alias("tokens"), F.count("*").alias("kinds")), "firsts")
     return net, Spells(
         _totals(by_first, "first", size, "tokens"), _totals(by_first, "first", size, "kinds"), spell_class, after, items, times,
-        np.bincount(begun, times, size), np.bincount(begun, minlength=size), end,
+        sums, different, end, len(items) == different.sum(),
     )
 
 
@@ -593,7 +656,7 @@ def fit_shards(net: Attention, scanned: DataFrame, shards: int) -> Attention:
         held = seen = 0
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                texts.append((np.frombuffer(a, small).astype(np.int64), np.frombuffer(b, small).astype(np.int64)))
+                texts.append((np.frombuffer(a, small), np.frombuffer(b, small)))
                 held += len(texts[-1][0])
                 if held >= HELD_TOKENS:
                     fit(own, texts, None, most=SHARD_RATE)
@@ -660,22 +723,55 @@ class Model:
     tokens: int
     vocabulary: int
 
+    def __post_init__(self):
+        #: Of the frequent words, once they were met: first and last id, own and mass.
+        self.ids = np.full((2, len(self.hashes)), -1, np.int32)
+        self.logs = np.zeros((2, len(self.hashes)))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("ids", "logs")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.__post_init__()
+
+    def spelled(self, words: Words, at: np.ndarray, subwords: Subwords) -> tuple:
+        """First ids, last ids, own, mass of the distinct words, and (word, pair, mass) of the
+        pairs that aren't frequent ones, None if all are; at is each word's place among the
+        frequent ones, -1 without one."""
+        met = (at >= 0) & (self.ids[0, at] >= 0) if len(self.hashes) else np.zeros(len(at), bool)
+        met[0] = False  # the end token
+        new = np.flatnonzero(~met)
+        some = Spelling.of(Words(words.hashes[new], [words.strings[i - 1] for i in new[1:].tolist()], words.tokens, words.counts), subwords)
+        ids, logs = np.empty((2, len(at)), np.int64), np.empty((2, len(at)))
+        ids[:, new], logs[:, new] = (some.first, some.last), self.spells.of(some)
+        ids[:, met], logs[:, met] = self.ids[:, at[met]], self.logs[:, at[met]]
+        whole, beyond = np.ones(len(new), bool), None
+        if not self.spells.whole:
+            which, pair, mass = self.spells.beyond(some)
+            whole[which] = False
+            beyond = new[which], pair, mass
+        keep = new[whole & (at[new] >= 0)]
+        self.ids[:, at[keep]], self.logs[:, at[keep]] = ids[:, keep], logs[:, keep]
+        return *ids, *logs, beyond
+
     def below(self) -> float:
         return float(np.log10(self.tokens + 0.5 * (self.vocabulary + 1)))
 
 
-def train(training: DataFrame, key: str, text: str, ranks: str, sample_docs: int = SAMPLE_DOCS) -> tuple[Model, DataFrame]:
-    """The model of all rows, and the table (item, n) of all its words."""
+def train(training: DataFrame, key: str, text: str, ranks: str, sample_docs: int = SAMPLE_DOCS) -> tuple[Model, DataFrame, DataFrame]:
+    """The model of all rows, and the tables (item, n) of all its words and pairs of ids."""
     subwords = Subwords(ranks)
     scanned = written(scan_corpus(training, key, text, ranks), "scanned")
     counted = written(scanned.where("kind = 0").groupBy("item", "first", "a").agg(F.sum("n").alias("n")), "words")
     words = counted.select("item", "n")
     tokens, vocabulary = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    net, spells = models_of(counted, scanned.where("kind = 1").select("item", "n"), subwords)
+    pairs = inner_pairs(counted, subwords)
+    net, spells = models_of(counted, scanned.where("kind = 1").select("item", "n"), subwords, pairs)
     net = fit(net, _sample(training, key, text, sample_docs, subwords))
     if tokens:
         net = fit_shards(net, scanned, -(-tokens // SHARD_TOKENS))
-    return Model(net, spells, *frequent(words), int(tokens), int(vocabulary)), words
+    return Model(net, spells, *frequent(words), int(tokens), int(vocabulary)), words, pairs
 
 
 def score(df: DataFrame, *, key: str = "doc_id", text: str = "text", ranks: str | None = None, folds: int = 5, fold: int = 1, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -690,14 +786,14 @@ def score(df: DataFrame, *, key: str = "doc_id", text: str = "text", ranks: str
     spark, ranks = df.sparkSession, ranks or rank_path()
     docs = narrow(df, key, text)
     kind = docs.schema[key].dataType.simpleString()
-    model, words = train(docs.where(crc_mod(F.col(key), folds) != fold), key, text, ranks, sample_docs)
+    model, words, pairs = train(docs.where(crc_mod(F.col(key), folds) != fold), key, text, ranks, sample_docs)
     sent, below = spark.sparkContext.broadcast(model), model.below()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         subwords, scorer = Subwords(ranks), Scorer(model.net)
         row = TaskContext.get().partitionId() << 33
-        kinds = {"rare": pa.bool_(), "row": pa.int64(), "key": None, "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "item": pa.int64(), "n": pa.int64(), "own": pa.float64(), "below": pa.float64()}
+        kinds = {"rare": pa.bool_(), "row": pa.int64(), "key": None, "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "item": pa.int64(), "n": pa.int64(), "own": pa.float64(), "below": pa.float64(), "chunk": pa.int64(), "pair": pa.int64(), "mass": pa.float64()}
 
         def out(rows: int, **columns) -> pa.RecordBatch:
             cells = [pa.nulls(rows, t) if c not in columns else columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c], t) for c, t in kinds.items()]
@@ -708,12 +804,15 @@ def score(df: DataFrame, *, key: str = "doc_id", text: str = "text", ranks: str
             kinds["key"] = batch.column(0).type
             for i, j in chunks(offsets, CHUNK_BYTES):
                 words = words_of(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                spelling = Spelling.of(words, subwords)
-                own, mass = model.spells.of(spelling)
                 n = j - i
                 doc = np.repeat(np.arange(n), words.counts)
                 at = np.minimum(np.searchsorted(model.hashes, words.hashes), max(len(model.hashes) - 1, 0))
                 known = model.hashes[at] == words.hashes if len(model.hashes) else np.zeros(len(words.hashes), bool)
+                first, last, own, mass, open_pairs = model.spelled(words, np.where(known, at, -1), subwords)
+                if open_pairs is not None:
+                    which, pair, share = open_pairs  # once a chunk, not once a text
+                    known[which] = False  # by the join
+                    yield out(len(pair), chunk=np.full(len(pair), row), item=words.hashes[which].view(np.int64), pair=pair, mass=share)
                 times = np.where(known, model.counts[at], 0) if len(model.hashes) else np.zeros(len(words.hashes))
                 base = np.where(known, np.log10(times + 0.5) - model.below(), 0.0)
                 inside = np.where(known, word_logs(times, own, mass), 0.0)
@@ -725,20 +824,25 @@ def score(df: DataFrame, *, key: str = "doc_id", text: str = "text", ranks: str
                     mine = np.where(word > 0, own[word], 0.0), np.where(word > 0, mass[word], np.nan)
                     yield out(
                         len(pair), rare=np.ones(len(pair), bool), row=row + pair // len(words.hashes), item=words.hashes[word].view(np.int64), n=np.bincount(which, minlength=len(pair)),
-                        own=mine[0], below=pa.array(mine[1], pa.float64(), from_pandas=True),
+                        own=mine[0], below=pa.array(mine[1], pa.float64(), from_pandas=True), chunk=np.full(len(pair), row),
                     )
                 yield out(
                     n, rare=np.zeros(n, bool), row=np.arange(row, row + n), key=batch.column(0).slice(i, n), n_tokens=words.counts,
                     n_known=np.bincount(doc, known[words.tokens], n).astype(np.int64), base=np.bincount(doc, base[words.tokens], n),
-                    score=scorer.text_scores(words, spelling.first, spelling.last) + np.bincount(doc, inside[words.tokens], n),
+                    score=scorer.text_scores(words, first, last) + np.bincount(doc, inside[words.tokens], n),
                 )
                 row += n
 
-    schema = f"rare boolean, row long, key {kind}, n_tokens long, n_known long, base double, score double, item long, n long, own double, below double"
+    schema = f"rare boolean, row long, key {kind}, n_tokens long, n_known long, base double, score double, item long, n long, own double, below double, chunk long, pair long, mass double"
     both = written(docs.select(F.col(key), F.col(text).cast("string").alias(text)).mapInArrow(lean(run), schema), "scores")
     times, n = F.col("times"), F.coalesce("n", F.lit(0))
+    rare = both.where("rare").select("row", "item", F.col("n").alias("times"), "own", "below", "chunk")
+    if not model.spells.whole:
+        spelled = both.where("rare IS NULL").select("chunk", "item", "pair", "mass").join(pairs.select(F.col("item").alias("pair"), "n"), "pair")
+        more = spelled.groupBy("chunk", "item").agg(F.sum(F.log10(1 + F.col("n") / F.col("mass"))).alias("spelled"))
+        rare = rare.join(more, ["chunk", "item"], "left").withColumn("own", F.col("own") + F.coalesce("spelled", F.lit(0.0)))
     rest = (
-        both.where("rare").select("row", "item", F.col("n").alias("times"), "own", "below").join(words, "item", "left")
+        rare.join(words, "item", "left")
         .groupBy("row").agg(
             F.sum(times * (F.log10(n + 0.5) - below)).alias("more"), F.sum(F.when(n > 0, times).otherwise(0)).alias("more_known"),
             # no mass below: the end token, which is its first id
