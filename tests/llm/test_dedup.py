@@ -206,3 +206,33 @@ def test_sized_broadcasts_small_tables_only(spark):
     for big in (common.sized(df, 5), common.sized(long, most=900)):
         assert "broadcast" not in big._jdf.queryExecution().logical().toString().lower()
     assert df.join(common.sized(spark.range(3), 1), "id").count() == 3
+
+
+def test_few_rows_are_not_many_files(spark):
+    """Each file costs forks of an executor on a local disk; all rows stay, and many rows keep their tasks."""
+    df = spark.range(1000).repartition(60)
+    few, many = (common.written(df, "some", rows=n) for n in (1000, 10**6))
+    assert len(few.inputFiles()) == 16 and len(many.inputFiles()) == 60
+    assert few.count() == many.count() == 1000
+
+
+def test_steps_of_components_are_few_files(spark, monkeypatch):
+    files, keep = [], graph.written
+
+    def written(df, name, **more):
+        out = keep(df, name, **more)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(graph, "written", written)
+    settings = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        edges = spark.range(400).selectExpr("id AS a", "id + 1 AS b").where("a % 20 < 19")
+        assert graph.components(edges, rows=400).select("component").distinct().count() == 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) > 2 and max(files) <= 16

@@ -48,10 +48,21 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, *, partition_by: str | None = None) -> DataFrame:
-    """df as a table in the shared folder: computed once, safe from lost executors."""
+#: Files of a table whose scale is known: one for so many rows, and so many at least.
+FILE_ROWS, LEAST_FILES = 5_000, 16
+
+
+def written(df: DataFrame, name: str, *, partition_by: str | None = None, rows: int | None = None) -> DataFrame:
+    """df as a table in the shared folder: computed once, safe from lost executors.
+
+    With rows, about how many it has, few of them don't become many files: each file
+    costs round trips, and on a local disk forks of the executor, which for a moment
+    count as a second one.  Only for tables whose last step deals rows out evenly.
+    """
     path = f"{work_dir(df.sparkSession)}-{name}"
     schema = df.schema
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))
     out = df.write.mode("overwrite")
     (out.partitionBy(partition_by) if partition_by else out).parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)

@@ -57,15 +57,17 @@ def star_edges(hits: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple
     return labels[far], ids[far]
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
     """(node, component) of all nodes of the edges; component is the smallest node.
 
     Large and small stars in turn: each step links every node to the smallest of
     its neighbours, so the number of edges never grows, and long chains shorten to
     half.  Each step is a table in the shared folder; only counts reach the driver.
+    rows is about the number of edges, if it is known.
     """
     now = edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where("u < v").distinct()
-    now, before = written(now, "edges"), None
+    now, before = written(now, "edges", rows=rows), None
+    rows = now.count()
     while True:
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
@@ -74,7 +76,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.groupBy("v").agg(F.min("u").alias("m"))
         now = written(
             large.join(small, "v").select(F.explode(F.when(F.col("u") == F.col("m"), F.array(F.struct("v", F.col("m").alias("u")))).otherwise(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u"))))).alias("e")).select("e.*").where("u < v").distinct(),
-            "edges",
+            "edges", rows=rows,
         )  # the small star: v and its smaller neighbours go to the smallest of them
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(mark) == before:

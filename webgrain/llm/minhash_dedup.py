@@ -168,14 +168,14 @@ def _collisions(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def candidate_groups(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
     """(node, component) of nodes that are joined by pairs above the match threshold."""
-    posts = posted(classes, coordinates)
+    posts, scale = posted(classes, coordinates), classes.count()
     # as tables, counts are sides of their own, and their joins may split a hot token's rows
-    shared = written(posts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    shared = written(posts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "shared", rows=scale)
     lists = posts.join(shared, "token").groupBy("node").agg(F.collect_list(F.struct("n", "token")).alias("by"))  # at most ``coordinates`` in a group
     # of the prefix, pairs that no other node has come first: they are left out already
     prefix = F.lit(coordinates - matches + 1 - coordinates) + F.size("by")
-    kept = written(lists.where(F.size("by") >= matches).select("node", F.explode(F.slice(F.array_sort("by"), 1, prefix)["token"]).alias("token")), "lists")
-    heads = written(kept.groupBy("token").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1"), "heads")
+    kept = written(lists.where(F.size("by") >= matches).select("node", F.explode(F.slice(F.array_sort("by"), 1, prefix)["token"]).alias("token")), "lists", rows=scale)
+    heads = written(kept.groupBy("token").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1"), "heads", rows=scale)
     sigs = classes.select("node", "sig")
     members = (
         kept.join(heads.select("token", "head"), "token").join(sigs, "node")
@@ -208,7 +208,7 @@ def candidate_groups(classes: DataFrame, coordinates: int, matches: int) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["a", "b"])
 
     edges = tried.where("NOT rest AND node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    return components(edges.unionByName(in_order(tasks).mapInArrow(lean(among, None), "a long, b long")))
+    return components(edges.unionByName(in_order(tasks).mapInArrow(lean(among, None), "a long, b long")), rows=scale)
 
 
 def full_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame, width: int) -> DataFrame:
@@ -292,15 +292,16 @@ def near_duplicates(
     matches = least_matches(coordinates, percent)
     rows = written(signed(docs, key, text, words, coordinates), "signatures")
     classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("first_id"), F.any_value("sig").alias("sig"))
-    classes = written(classes, "classes")
-    groups = written(candidate_groups(classes, coordinates, matches), "groups")
+    scale = rows.count()
+    classes = written(classes, "classes", rows=scale)
+    groups = written(candidate_groups(classes, coordinates, matches), "groups", rows=scale)
     sets = written(full_sets(docs, key, text, classes.select("node", "first_id").join(groups.select("node"), "node"), words), "sets")
     edges = confirmed(groups, sets, classes.select("node", "sig"), coordinates, matches, percent)
-    found = written(components(edges), "components")
+    found = written(components(edges, rows=scale), "components", rows=scale)
     smallest = classes.select("node", "first_id").join(found, "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
     linked = found.join(smallest, "component").select("node", "component_id")
     facts = classes.select("node", "first_id").join(linked, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id"))
-    facts = written(facts, "facts")  # as a table it is a side of its own, and the join may split a hot node's rows
+    facts = written(facts, "facts", rows=scale)  # as a table it is a side of its own, and the join may split a hot node's rows
     return (
         rows.select(F.col("key").alias(key), "n_shingles", "node").join(facts, "node", "left")
         .select(key, "n_shingles", F.when(F.col("node").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
